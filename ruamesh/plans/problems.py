@@ -11,6 +11,35 @@ from ruamesh.operators import edges as E
 from ruamesh.operators import profile as P
 from ruamesh.operators.multivalue import distinct_texts, learn_splits, split_values
 from ruamesh.operators.orphans import orphans
+from ruamesh.operators.spatial import near_pairs, nearest, regions_of
+
+NEAR_M = 40.0
+
+
+def _origin_points(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, x, y, node) of the origins with a location; 0,0 means none."""
+    o = table(spark, sf, "origins").select(F.col("origin_id").alias("id"), F.col("geometry.x").alias("x"), F.col("geometry.y").alias("y"), "node")
+    return o.filter("x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0)").distinct()
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    points = cut(_origin_points(spark, sf))
+    near = near_pairs(points, NEAR_M).select(F.lit("near").alias("relation"), "key_a", "key_b")
+    bairros = table(spark, sf, "bairros").select(F.col("CODIGO").alias("region"), F.col("geometry").alias("rings"))
+    within = regions_of(points, bairros).select(F.lit("in").alias("relation"), F.col("id").alias("key_a"), F.col("region").alias("key_b"))
+    nodes = table(spark, sf, "gdf_nodes").select(F.col("osmid").alias("target"), "x", "y")
+    true = nearest(points, nodes).join(points.select("id", "node").distinct(), "id")
+    wrong = true.filter(~F.col("node").eqNullSafe(F.col("target"))).select(F.lit("node").alias("relation"), F.col("id").alias("key_a"), F.col("target").alias("key_b"))
+    return near.unionByName(within).unionByName(wrong).distinct()
+
+
+def p1_bairros(spark: SparkSession, sf: str) -> DataFrame:
+    """Each located origin with the bairro (code and name) that contains it, or nulls."""
+    points = cut(_origin_points(spark, sf).select("id", "x", "y").distinct())
+    b = table(spark, sf, "bairros").select(F.col("CODIGO").cast("bigint").alias("region"), F.col("NOME").alias("nome"), F.col("geometry").alias("rings"))
+    found = regions_of(points, b).join(b.select("region", "nome"), "region")
+    return points.select("id").distinct().join(found, "id", "left").select(F.col("id").alias("origin_id"), F.col("region").alias("codigo"), "nome")
+
 
 PACKED = ["highway", "lanes", "maxspeed"]
 
@@ -84,7 +113,7 @@ def p6_periods(spark: SparkSession, sf: str) -> DataFrame:
     return p6_found(spark, sf).groupBy("tab", "field", "period").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_periods": p6_periods}
+QUERIES = {"p1_found": p1_found, "p1_bairros": p1_bairros, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_periods": p6_periods}
 
 _P6 = """
 WITH refs AS (
