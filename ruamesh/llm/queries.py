@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from ruamesh.common import table
 from ruamesh.llm.language import languages
 from ruamesh.llm.leakage import leaks
+from ruamesh.llm.names import street_ids, variant_pairs
 from ruamesh.llm.tokens import encode
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variant_pairs(table(spark, sf, "gdf_edges").select("name"))
+
+
+def p5_streets(spark: SparkSession, sf: str) -> DataFrame:
+    """Each street by its id with the number of its spellings and the greatest of them."""
+    ids = street_ids(table(spark, sf, "gdf_edges").select("name"))
+    return ids.groupBy("sid").agg(F.count(F.lit(1)).alias("spellings"), F.max("name").alias("name"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(table(spark, sf, "documents")).distinct()
 
@@ -38,4 +49,4 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "seg", "lang", F.round("confidence", 3).alias("confidence"), "chars", "named").distinct()
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments}
+QUERIES = {"p5_found": p5_found, "p5_streets": p5_streets, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments}
