@@ -303,10 +303,9 @@ def token_rewrites(tokens: DataFrame, target: str) -> DataFrame:
 
 
 def _conflict(a: str, b: str) -> F.Column:
-    """Middle names that can't be the same person's: initials differ, or both are written and far apart."""
+    """Middle names that can't be the same: neither begins with the other (as initials do), and they are far apart."""
     x, y = F.col(a), F.col(b)
-    short = (F.length(x) == 1) | (F.length(y) == 1)
-    return (x != "") & (y != "") & F.when(short, F.substring(x, 1, 1) != F.substring(y, 1, 1)).otherwise(F.levenshtein(x, y) > 3)
+    return (x != "") & (y != "") & ~F.startswith(x, y) & ~F.startswith(y, x) & (F.levenshtein(x, y) > 3)
 
 
 def _best(matches: DataFrame, key: list[str], heavier: bool = False) -> DataFrame:
