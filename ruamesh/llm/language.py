@@ -1,7 +1,8 @@
 """Languages of documents and of their segments: averaged hashed subword embeddings under a linear softmax.
 
 The classifier is trained here, by stochastic gradient descent in numpy, on labelled sentences (at most
-``MAX_SAMPLES`` of them are taken to the driver; that is the one bounded sample). Each sentence is seen as written,
+``MAX_SAMPLES``) and then on the sentences of at most ``MAX_LABELLED`` labelled documents, unless the
+classifier all but excludes the label; those are the bounded samples taken to the driver, and all else covers all rows. Each sentence is seen as written,
 without accents and in lower case with its names, so that such texts are recognised too. A temperature fitted on
 sentences held out calibrates the confidence, and a sentence below ``REJECT`` has no language of its own.
 
@@ -40,6 +41,10 @@ MAX_SAMPLES = 20_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 15, 0.5
 #: Least calibrated confidence of a sentence, log price of changing language, least and greatest subword length.
 REJECT, CHANGE = 0.5, -4.0
+#: Words of evidence from which on a sentence speaks in full; with fewer it speaks in proportion.
+FULL_WORDS = 4
+#: Most labelled documents whose sentences are learned too, least probability of the label for that; rounds of that.
+MAX_LABELLED, AGREE, MORE_EPOCHS = 1500, 0.05, 4
 _GRAMS = (1, 4)
 #: Abbreviations that end no sentence.
 ABBREVIATIONS = "av avda r tv trav tr estr al alam pca pça dr dra sr sra srs prof profa eng enga gen mal cel cap ten ver vera pe d n nº no num pag p ex etc st mr mrs ms vs m mme mlle bd bld apto"
@@ -47,6 +52,7 @@ _ABBR = frozenset(ABBREVIATIONS.split())
 _END = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s|$))|(?:\n\s*\n)")
 _TOKEN = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*(?:['’]\p{Latin}[\p{Latin}\p{M}]*)?")
 _QUOTED = re.compile(r"\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|«[^»\n]{1,120}»")
+_RECORD = re.compile(r"\{[^{}]*\}|\[[^\[\]]*\d[^\[\]]*\]|<\|[^|<>]*\|>|</?[A-Za-z][^<>]*>")
 _DRESS = re.compile("[*_>#​‌‍﻿­]+")
 
 
@@ -61,6 +67,15 @@ def label_language(label: str | None) -> str | None:
     return None
 
 
+def _bare(text: str) -> str:
+    return _RECORD.sub(" ", text) if "{" in text or "[" in text or "<" in text else text
+
+
+def _worded(piece: str) -> bool:
+    """Whether a piece holds a word outside data records such as JSON and outside markup."""
+    return bool(_TOKEN.search(_bare(piece)))
+
+
 def sentences(text: str) -> list[str]:
     """Whole sentences; what holds no word goes with the sentence before (or after, at the beginning)."""
     cuts, out = [], []
@@ -75,14 +90,12 @@ def sentences(text: str) -> list[str]:
     start = 0
     for c in [*cuts, len(text)]:
         piece = text[start:c]
-        if out and not _TOKEN.search(piece):
-            out[-1] += piece
-        elif out and not _TOKEN.search(out[-1]):
+        if out and (not _worded(piece) or not _worded(out[-1])):
             out[-1] += piece
         elif piece:
             out.append(piece)
         start = c
-    return [s for s in out if _TOKEN.search(s)]
+    return [s for s in out if _worded(s)]
 
 
 def _plain(s: str) -> str:
@@ -92,7 +105,8 @@ def _plain(s: str) -> str:
 def evidence(sentence: str) -> list[str]:
     """Words that speak for a language: no quotations, and no capitalised words inside a mixed-case sentence."""
     s = unicodedata.normalize("NFC", _DRESS.sub("", sentence))
-    bare = _QUOTED.sub(" ", s)
+    s = _bare(s)
+    bare = _QUOTED.sub(" ", s) if '"' in s or "“" in s or "«" in s else s
     tokens = _TOKEN.findall(bare if len(_TOKEN.findall(bare)) >= 2 else s)
     if any(t.islower() for t in tokens):
         kept = [t for k, t in enumerate(tokens) if k == 0 or not t[0].isupper()]
@@ -100,23 +114,15 @@ def evidence(sentence: str) -> list[str]:
     return [t.lower().replace("’", "'") for t in tokens]
 
 
-class Features:
-    """Bucket ids of words: the word, and its subwords of ``_GRAMS`` characters, each kept once computed."""
-
-    def __init__(self) -> None:
-        self.seen: dict[str, list[int]] = {}
+def grams(w: str) -> list[int]:
+    """Bucket ids of a word and of its subwords of ``_GRAMS`` characters."""
+    padded = f"<{w}>"
+    parts = {padded} | {padded[k : k + n] for n in range(_GRAMS[0] + 1, _GRAMS[1] + 1) for k in range(len(padded) - n + 1)}
+    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(parts)]
 
-    def word(self, w: str) -> list[int]:
-        if (got := self.seen.get(w)) is None:
-            padded = f"<{w}>"
-            grams = {padded} | {padded[k : k + n] for n in range(_GRAMS[0] + 1, _GRAMS[1] + 1) for k in range(len(padded) - n + 1)}
-            got = [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
-            if len(self.seen) < 200_000:
-                self.seen[w] = got
-        return got
 
-    def sentence(self, words: list[str]) -> np.ndarray:
-        return np.array([b for w in words for b in self.word(w)], dtype=np.int64)
+def sentence_ids(words: list[str]) -> np.ndarray:
+    return np.array([b for w in words for b in grams(w)], dtype=np.int64)
 
 
 class Model:
@@ -125,9 +131,24 @@ class Model:
     def __init__(self, emb: np.ndarray, out: np.ndarray, temperature: float = 1.0) -> None:
         # The product is what a sentence needs of each bucket.
         self.table, self.temperature = (emb @ out).astype(np.float32), temperature
+        self.words: dict[str, np.ndarray] = {}
+
+    def word(self, w: str) -> np.ndarray:
+        """Sum of a word's rows of the table, and behind it their number; the last 200,000 words are kept."""
+        got = self.words.get(w)
+        if got is None:
+            ids = grams(w)
+            got = np.append(self.table[ids].sum(axis=0), np.float32(len(ids)))
+            if len(self.words) >= 200_000:
+                self.words.clear()
+            self.words[w] = got
+        return got
 
-    def logits(self, ids: np.ndarray) -> np.ndarray:
-        return self.table[ids].mean(axis=0) / self.temperature if len(ids) else np.zeros(len(LANGS), np.float32)
+    def logits(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(len(LANGS), np.float32)
+        total = np.sum([self.word(w) for w in words], axis=0)
+        return total[:-1] / total[-1] / self.temperature
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -143,41 +164,61 @@ def _dressed(text: str) -> list[list[str]]:
     return out + ([ws[:half], ws[half:]] if half >= 3 else [])
 
 
-def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
-    """Fit on (language, sentence); a tenth is held out for the temperature and then learned too."""
-    rng, feats = np.random.default_rng(seed), Features()
+def _fit(data: list[tuple[int, np.ndarray]], weights: tuple[np.ndarray, np.ndarray], epochs: int, rate: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Stochastic gradient descent on the log loss, with a rate that falls to 0."""
+    emb, out = weights
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs)
+        for k in rng.permutation(len(data)):
+            y, ids = data[k]
+            h = emb[ids].mean(axis=0)
+            g = _softmax(h @ out)
+            g[y] -= 1
+            back = out @ g
+            out -= step * np.outer(h, g)
+            np.subtract.at(emb, ids, step * back / len(ids) * 4)
+    return emb, out
+
+
+def train(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (), seed: int = 7) -> Model:
+    """Fit on (language, sentence), a tenth held out for the temperature; then go on with the sentences of
+    (label, document) whose label the classifier does not all but exclude."""
+    rng = np.random.default_rng(seed)
     rows = [(LANGS.index(k), t) for lang, t in samples if t and (k := label_language(lang)) in LANGS]
     order = rng.permutation(len(rows))
-    held = {int(k) for k in order[: len(rows) // 10]}
-
-    def fit(use: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        data = [(rows[k][0], ids) for k in use for ws in _dressed(rows[k][1]) if len(ids := feats.sentence(ws))]
-        emb, out = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(LANGS)))
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
-            for k in rng.permutation(len(data)):
-                y, ids = data[k]
-                h = emb[ids].mean(axis=0)
-                g = _softmax(h @ out)
-                g[y] -= 1
-                back = out @ g
-                out -= rate * np.outer(h, g)
-                np.subtract.at(emb, ids, rate * back / len(ids) * 4)
-        return emb, out
-
-    model = Model(*fit([k for k in range(len(rows)) if k not in held]))
-    check = [(rows[k][0], model.logits(feats.sentence(evidence(rows[k][1])))) for k in held]
-    temps = np.geomspace(0.25, 4, 17)
-    losses = [sum(-np.log(_softmax(z / t)[y] + 1e-9) for y, z in check) for t in temps]
-    best = float(temps[int(np.argmin(losses))]) if check else 1.0
-    return Model(*fit(list(range(len(rows)))), temperature=max(0.5, best))
+    held = [int(k) for k in order[: len(rows) // 10]]
 
+    def start() -> tuple[np.ndarray, np.ndarray]:
+        return rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(LANGS)))
 
-def decode(model: Model, feats: Features, parts: list[str]) -> tuple[list[int], list[float]]:
+    def features(use: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
+        return [(y, ids) for y, t in use for ws in _dressed(t) if len(ids := sentence_ids(ws))]
+
+    weights = _fit(features([rows[int(k)] for k in order[len(rows) // 10 :]]), start(), EPOCHS, RATE, rng)
+    part = Model(*weights)
+    check = [(rows[k][0], part.logits(evidence(rows[k][1]))) for k in held]
+    temps = np.geomspace(0.25, 4, 17)
+    losses = [sum(-np.log(_softmax(z / t)[y] + 1e-9) for y, z in check) for t in temps]
+    temperature = max(0.5, float(temps[int(np.argmin(losses))])) if check else 1.0
+    weights = _fit(features([rows[k] for k in held]), weights, EPOCHS, RATE / 2, rng)
+    first, more = Model(*weights), {}
+    for label, text in labelled:
+        y = LANGS.index(k) if (k := label_language(label)) in LANGS else -1
+        for p in sentences(text or "") if y >= 0 else ():
+            ws = evidence(p)
+            if len(ws) >= 3 and _softmax(first.logits(ws))[y] >= AGREE:
+                more[" ".join(ws)] = (y, p)
+    extra = [(y, ids) for y, p in more.values() for ws in _dressed(p)[:1] if len(ids := sentence_ids(ws))]
+    return Model(*_fit(features(rows) + extra, weights, MORE_EPOCHS if extra else 0, RATE / 2, rng), temperature=temperature)
+
+
+def decode(model: Model, parts: list[str]) -> tuple[list[int], list[float]]:
     """Language of each sentence along the best path, and its calibrated confidence."""
-    probs = np.array([_softmax(model.logits(feats.sentence(evidence(p)))) for p in parts])
+    words = [evidence(p) for p in parts]
+    probs = _softmax(np.array([model.logits(w) for w in words], dtype=float))
     sure = probs.max(axis=1) >= REJECT
-    emit = np.where(sure[:, None], np.log(probs + 1e-6), 0.0)
+    full = np.minimum(1.0, np.array([len(w) for w in words]) / FULL_WORDS)
+    emit = np.where(sure[:, None], np.log(probs + 1e-6), 0.0) * full[:, None]
     score, back = emit[0], []
     for row in emit[1:]:
         move = np.maximum(score, score.max() + CHANGE)
@@ -201,17 +242,17 @@ def languages(docs: DataFrame, samples: DataFrame) -> DataFrame:
     named is the language that the document's label names, or null.
     """
     labelled = samples.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").orderBy(F.xxhash64("text"), "lang").limit(MAX_SAMPLES)
-    model = docs.sparkSession.sparkContext.broadcast(train([tuple(r) for r in labelled.collect()]))
+    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").filter("lang IS NOT NULL AND text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    model = docs.sparkSession.sparkContext.broadcast(train([tuple(r) for r in labelled.collect()], [(r["lang"], r["text"]) for r in known.collect()]))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feats = Features()
         for pdf in batches:
             out = []
             for k, t, label in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
                 parts = sentences(t)
                 if not parts:
                     continue
-                path, conf = decode(model.value, feats, parts)
+                path, conf = decode(model.value, parts)
                 named, chars, first = label_language(label), {}, {}
                 runs: list[list] = []
                 for n, (p, j, c) in enumerate(zip(parts, path, conf)):
