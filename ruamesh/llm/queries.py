@@ -23,7 +23,7 @@ def p5_streets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encode(table(spark, sf, "documents")).distinct()
+    return encode(table(spark, sf, "documents"))  # doc_id is unique
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

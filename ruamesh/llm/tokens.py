@@ -6,8 +6,8 @@ within ``LOOK`` characters of the left side's end are uncertain. From their star
 pre-token exactly where the right side's scan ended one. The scan has no memory beyond its position, so from there
 on both sides agree for good: the result equals that of the whole text, whatever the text.
 
-Defined results: null and empty texts have an empty list; special-token strings are ordinary text; a document given
-twice with the same text comes once, with different texts once for each. Extra columns are ignored.
+Defined results: null and empty texts have an empty list; special-token strings are ordinary text; every row comes by
+itself, repeated ones too. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,10 +131,12 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
     out = base.filter(size <= split_chars).mapInPandas(whole, "_rm_doc bigint, ids array<int>")
     long = base.filter(size > split_chars).withColumn("_rm_hash", F.xxhash64("text"))
-    longest = long.agg(F.max(F.length("text"))).first()[0] or 0
+    copies = cut(long.groupBy("_rm_doc", "_rm_hash").agg(F.count(F.lit(1)).alias("_rm_n"), F.max(F.length("text")).alias("_rm_len")))
+    longest = copies.agg(F.max("_rm_len")).first()[0] or 0
     nodes = long.dropDuplicates(["_rm_doc", "_rm_hash"]).mapInPandas(parts, "_rm_doc bigint, _rm_hash bigint, _rm_part bigint, text string")
     nodes = nodes.repartition("_rm_doc", "_rm_hash", "_rm_part").mapInPandas(encode_parts, _NODE)
     while longest > split_chars:
         nodes = cut(nodes.groupBy("_rm_doc", "_rm_hash", F.floor(F.col("_rm_part") / 2).alias("_rm_pair")).applyInPandas(join_parts, _NODE))
         longest = -(-longest // 2)
+    nodes = nodes.join(copies, ["_rm_doc", "_rm_hash"]).withColumn("_rm_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_rm_n")))
     return out.unionByName(nodes.select("_rm_doc", "ids")).select(F.col("_rm_doc").alias(key), "ids")
