@@ -120,7 +120,7 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, shortest: int | N
 
     def doc_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, found = [], []
+            out = []
             for k, t in zip(pdf["doc_id"], pdf["text"]):
                 w = np.unique(windows(hashes(words(t)), seed).astype(np.int64))
                 if known is not None and len(w):
@@ -128,13 +128,14 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, shortest: int | N
                     at = np.searchsorted(known.value, w)
                     at[at == len(known.value)] = 0
                     w = w[known.value[at] == w] if len(known.value) else w[:0]
-                ids += [k] * len(w)
-                found.append(w)
-            yield pd.DataFrame({"doc_id": np.array(ids, dtype=np.int64), "seed": np.concatenate(found) if found else np.empty(0, np.int64)})
-
-    pairs = cut(d.mapInPandas(doc_seeds, "doc_id bigint, seed bigint").join(seeds, "seed").select("doc_id", "item_id").distinct())
-    # Only the texts of pairs move on.
-    texts = d.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+                if len(w):
+                    out.append((k, t, w.tolist()))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "seeds"])
+
+    # Only documents that hold a seed are written and move on with their text.
+    hits = cut(d.mapInPandas(doc_seeds, "doc_id bigint, text string, seeds array<bigint>"))
+    pairs = hits.select("doc_id", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_id", "item_id").distinct()
+    texts = hits.select("doc_id", "text").distinct()
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
