@@ -186,8 +186,12 @@ def _arcs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _weigh(pdf: pd.DataFrame, decimals: dict[str, bool], totals: dict[str, float]) -> Iterator[tuple]:
     for field, text, n, arcs in zip(pdf.field, pdf.text, pdf.n, pdf.arcs):
-        forms = scan(text)[1]
-        yield field, text, n, forms, [(a["i"], a["j"], a["value"], _log_theta(a["value"], a["c"], totals.get(field, 0.0), decimals.get(field, False))) for a in arcs]
+        forms, scored = scan(text)[1], []
+        for a in arcs:
+            # A text is no evidence for its own split: what it may have counted itself is taken off.
+            c = max(0.0, (a["c"] or 0.0) - n) if len(arcs) > len(forms) + 1 else a["c"]
+            scored.append((a["i"], a["j"], a["value"], _log_theta(a["value"], c, totals.get(field, 0.0), decimals.get(field, False))))
+        yield field, text, n, forms, scored
 
 
 def distinct_texts(df: DataFrame, fields: list[str]) -> DataFrame:
