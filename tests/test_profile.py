@@ -15,7 +15,7 @@ def test_findings(spark):
     values = df.filter("text IS NOT NULL AND text <> ''").select("row_id", F.lit(1).alias("pos"), number("text").alias("num"))
     texts = df.filter("text IS NOT NULL").groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("well_formed", number("text").isNotNull())
     got = {tuple(r) for r in P.number_findings(df, P.rare_mask_texts(texts), values, 1, 10, whole=True).collect()}
-    assert got == {(1, 100, "pattern"), (1, 101, "pattern"), (2, 102, "range"), (2, 103, "range"), (4, 0, "nulls"), (3, 0, "nulls"), (3, 0, "shift")}
+    assert got == {(1, 100, "pattern"), (1, 101, "pattern"), (2, 102, "range"), (2, 103, "range"), (4, 0, "nulls"), (3, 0, "shift")}
 
 
 def test_plain_and_profile(spark):
