@@ -3,7 +3,8 @@
 The filter is blocked: a key hashes to one 64-bit word and to ``BITS`` bits in it, so that building it is one
 map-side combined aggregation and probing it one broadcast join on the word, all in the JVM. It never has more than
 ``MAX_WORDS`` words, whatever the number of keys; with more keys only more references go on to the exact join. What
-the filter rejects is surely an orphan. The others are joined to their parents exactly, hot keys apart.
+the filter rejects is surely an orphan. The others meet their parents exactly, by key and day, so that no key's rows gather in one
+task.
 
 Defined results: null references are no orphans; a reference without a time is an orphan when its key has no record
 at all; a record without a load time was always there; repeated rows come once; empty parents make every reference
@@ -13,9 +14,10 @@ an orphan. Extra columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ruamesh.common import cut, lookup
+from ruamesh.common import cut
 
 MAX_WORDS = 1 << 17
 BITS = 5
@@ -58,8 +60,17 @@ def orphans(refs: DataFrame, ref: str, key: str, at: str, parents: DataFrame, pa
     words_df, words = bloom(there, "_rm_ref", there.count())
     probed = cut(rows.withColumn("_rm_word", _word(F.col("_rm_ref"), words)).join(F.broadcast(words_df), "_rm_word", "left").withColumn("_rm_maybe", F.coalesce(F.col("_rm_bits").bitwiseAND(_bits(F.col("_rm_ref"))) == _bits(F.col("_rm_ref")), F.lit(False))).drop("_rm_word", "_rm_bits"))
     maybe = probed.filter("_rm_maybe").drop("_rm_maybe")
-    # The records of one key as one list, then one row a reference: spans of one key are few, one for each time it was loaded anew.
-    spans = there.groupBy("_rm_ref").agg(F.collect_list(F.struct("_rm_from", "_rm_to")).alias("_rm_spans"))
-    ok = F.exists("_rm_spans", lambda s: (s["_rm_from"] <= F.col("at")) & (s["_rm_to"] > F.col("at"))) | (F.col("_rm_spans").isNotNull() & F.col("at").isNull())
-    checked = lookup(maybe, spans, ["_rm_ref"], "left", max_rows=50_000).filter(~F.coalesce(ok, F.lit(False)))
-    return probed.filter(~F.col("_rm_maybe")).select("row_key", "at").unionByName(checked.select("row_key", "at"))
+    # Time decides by running maxima: a record is there at t when the latest end among those loaded until t is later.
+    # Keys are cut by day, so a hot key is many groups; what earlier days leave over comes from one row a key and day.
+    timed = maybe.filter("at IS NOT NULL")
+    known = there.join(maybe.select("_rm_ref").distinct(), "_rm_ref", "left_semi")
+    line = timed.select("_rm_ref", F.to_date("at").alias("_rm_day"), F.col("at").alias("_rm_t"), F.lit(1).alias("_rm_kind"), "row_key", F.lit(None).cast("timestamp").alias("_rm_to"))
+    line = line.unionByName(known.select("_rm_ref", F.to_date("_rm_from").alias("_rm_day"), F.col("_rm_from").alias("_rm_t"), F.lit(0).alias("_rm_kind"), F.lit(None).cast("bigint").alias("row_key"), "_rm_to"))
+    so_far = W.partitionBy("_rm_ref", "_rm_day").orderBy("_rm_t", "_rm_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    days = line.groupBy("_rm_ref", "_rm_day").agg(F.max("_rm_to").alias("_rm_end"))
+    before = W.partitionBy("_rm_ref").orderBy("_rm_day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.withColumn("_rm_left", F.max("_rm_end").over(before)).drop("_rm_end")
+    judged = line.withColumn("_rm_now", F.max("_rm_to").over(so_far)).filter("_rm_kind = 1").join(days, ["_rm_ref", "_rm_day"])
+    gone = judged.filter(~F.coalesce(F.greatest("_rm_now", "_rm_left") > F.col("_rm_t"), F.lit(False))).select("row_key", F.col("_rm_t").alias("at"))
+    timeless = maybe.filter("at IS NULL").join(known.select("_rm_ref").distinct(), "_rm_ref", "left_anti").select("row_key", "at")
+    return probed.filter(~F.col("_rm_maybe")).select("row_key", "at").unionByName(gone).unionByName(timeless)

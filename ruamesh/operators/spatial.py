@@ -29,6 +29,8 @@ from ruamesh.common import cut
 MAX_PIVOTS = 4096
 #: Points that a cell holds on average while there are few enough for the pivots.
 PER_CELL = 1500
+#: Ids of one place that share a slot of the pair join.
+PER_SLOT = 1000
 EARTH_M = 6_371_009.0
 #: Slack in metres when pruning, far above rounding and far below any distance asked.
 SLACK = 1e-6
@@ -161,7 +163,8 @@ def _to_cells(pivots: np.ndarray, metric: str, guests: bool, radius: str | None
 def near_pairs(points: DataFrame, radius: float, metric: str = "plane") -> DataFrame:
     """(key_a, key_b): pairs of different ids at most ``radius`` apart, the smaller first. ``points``: (id, x, y)."""
     ids = cut(_located(points, F.col("id").cast("bigint").alias("id")))
-    places = cut(ids.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    # The ids of one place are dealt to slots, so that no task gets all pairs of a place that very many share.
+    places = cut(ids.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("slots", F.ceil(F.col("n") / PER_SLOT)))
     pivots = pick_pivots(places)
     if not len(pivots):
         return ids.select(F.col("id").alias("key_a"), F.col("id").alias("key_b")).limit(0)
@@ -177,8 +180,9 @@ def near_pairs(points: DataFrame, radius: float, metric: str = "plane") -> DataF
     pairs = cells.groupBy("cell").applyInPandas(local, "ax double, ay double, bx double, by double")
     same = places.filter("n > 1").select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
     a = ids.select(F.col("id").alias("ka"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = ids.select(F.col("id").alias("kb"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    out = pairs.unionByName(same).join(a, ["ax", "ay"]).join(b, ["bx", "by"]).filter("ka <> kb")
+    b = ids.join(places, ["x", "y"]).select(F.col("id").alias("kb"), F.col("x").alias("bx"), F.col("y").alias("by"), F.pmod(F.xxhash64("id"), "slots").alias("slot"))
+    dealt = places.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot"))
+    out = pairs.unionByName(same).join(dealt, ["bx", "by"]).join(a, ["ax", "ay"]).join(b, ["bx", "by", "slot"]).filter("ka < kb OR ka > kb AND (ax <> bx OR ay <> by)")
     return out.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
 
