@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruamesh.common import cut
+from ruamesh.common import cut, lookup
 
 SEED = 12
 MAX_SEEDS = 2_000_000
@@ -134,7 +134,7 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, shortest: int | N
 
     # Only documents that hold a seed are written and move on with their text.
     hits = cut(d.mapInPandas(doc_seeds, "doc_id bigint, text string, seeds array<bigint>"))
-    pairs = hits.select("doc_id", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_id", "item_id").distinct()
+    pairs = lookup(hits.select("doc_id", F.explode("seeds").alias("seed")), seeds, ["seed"]).select("doc_id", "item_id").distinct()
     texts = hits.select("doc_id", "text").distinct()
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

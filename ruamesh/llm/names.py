@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ruamesh.common import cut
+from ruamesh.common import cut, lookup
 
 #: Fixed values, lower case without accents: kinds of way and how they are written; a bus corridor is an avenue.
 KINDS = {
@@ -345,8 +345,8 @@ def street_ids(names: DataFrame, column: str = "name") -> DataFrame:
     def rewritten(df: DataFrame, given: DataFrame) -> DataFrame:
         """The rows under every rewriting of given name and last word, as first2 and last2, with its cost."""
         g = given.select(F.col("tok").alias("first"), F.col("to").alias("first2"), F.col("cost").alias("c1"))
-        a = df.join(g, "first").unionByName(df.withColumns({"first2": F.col("first"), "c1": F.lit(0.0)}))
-        b = a.join(f, "last").unionByName(a.withColumns({"last2": F.col("last"), "c2": F.lit(0.0)}))
+        a = lookup(df, g, ["first"]).unionByName(df.withColumns({"first2": F.col("first"), "c1": F.lit(0.0)}))
+        b = lookup(a, f, ["last"]).unionByName(a.withColumns({"last2": F.col("last"), "c2": F.lit(0.0)}))
         return b.withColumn("cost", F.col("c1") + F.col("c2"))
 
     def targets(df: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def street_ids(names: DataFrame, column: str = "name") -> DataFrame:
     by_form = left.select(F.explode(forms).alias("form"), F.col("middle").alias("tmiddle"), F.col("title").alias("ttitle"), F.col("w").alias("tw"), "sid").withColumn("shared", F.count(F.lit(1)).over(W.partitionBy("form")))
     part = parsed.filter("kind = '' OR length(first) = 1")
     tag = F.when(F.length("first2") == 1, F.lit("i")).otherwise(F.lit("f"))
-    asked = rewritten(part, fixes_first.unionByName(called)).select("name", "middle", "title", "cost", F.concat_ws("|", tag, "kind", "first2", "last2").alias("form"))
+    asked = rewritten(part, cut(fixes_first.unionByName(called))).select("name", "middle", "title", "cost", F.concat_ws("|", tag, "kind", "first2", "last2").alias("form"))
     found = _best(asked.join(by_form, "form").withColumn("cost", F.col("cost") + F.log2("shared") / 100), ["name"])
     whole = full.join(final.select("kind", "first", "last", F.col("to").alias("sid")), ["kind", "first", "last"]).select("name", "sid")
     loose = part.join(found, "name", "left").select("name", F.coalesce("sid", F.concat_ws("|", F.lit("?"), "kind", "first", "middle", "last")).alias("sid"))
