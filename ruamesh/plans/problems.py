@@ -133,3 +133,42 @@ ORACLES = {
     "p6_found": _P6 + "SELECT tab, field, row_key, period FROM found",
     "p6_periods": _P6 + "SELECT tab, field, period, count(*) AS n FROM found GROUP BY tab, field, period",
 }
+
+ORACLES["p1_found"] = """
+WITH o AS (SELECT DISTINCT origin_id, geometry.x AS x, geometry.y AS y, node FROM origins WHERE geometry IS NOT NULL AND NOT (geometry.x = 0 AND geometry.y = 0)),
+p AS (SELECT DISTINCT origin_id, x, y FROM o),
+near AS (SELECT a.origin_id AS key_a, b.origin_id AS key_b FROM p a JOIN p b ON a.origin_id < b.origin_id AND b.x BETWEEN a.x - 40.001 AND a.x + 40.001 AND b.y BETWEEN a.y - 40.001 AND a.y + 40.001
+  WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 40 + 1e-9),
+s AS (SELECT CODIGO, ring, unnest(range(1, len(ring))) AS i FROM (SELECT CODIGO, unnest(geometry) AS ring FROM bairros)),
+e AS (SELECT CODIGO, ring[i].x AS x1, ring[i].y AS y1, ring[i + 1].x AS x2, ring[i + 1].y AS y2 FROM s),
+b AS (SELECT CODIGO, min(least(x1, x2)) AS x0, max(greatest(x1, x2)) AS xx, min(least(y1, y2)) AS y0, max(greatest(y1, y2)) AS yy FROM e GROUP BY CODIGO),
+c AS (SELECT p.*, b.CODIGO FROM p JOIN b ON p.x BETWEEN b.x0 AND b.xx AND p.y BETWEEN b.y0 AND b.yy),
+inside AS (SELECT c.origin_id AS key_a, CAST(c.CODIGO AS BIGINT) AS key_b FROM c JOIN e ON e.CODIGO = c.CODIGO GROUP BY c.origin_id, c.CODIGO, c.x, c.y
+  HAVING sum(CASE WHEN (y1 > c.y) <> (y2 > c.y) AND c.x < (x2 - x1) * (c.y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1),
+places AS (SELECT x, y, min(osmid) AS node FROM gdf_nodes WHERE osmid IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY x, y),
+nn AS (SELECT p.origin_id, p.x, p.y, arg_min(q.node, (sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), q.node)) AS node FROM p, places q GROUP BY p.origin_id, p.x, p.y)
+SELECT DISTINCT * FROM (
+  SELECT 'near' AS relation, key_a, key_b FROM near
+  UNION ALL SELECT 'in', key_a, key_b FROM inside
+  UNION ALL SELECT 'node', o.origin_id, nn.node FROM o JOIN nn ON nn.origin_id = o.origin_id AND nn.x = o.x AND nn.y = o.y WHERE o.node IS DISTINCT FROM nn.node)
+"""
+ORACLES["p1_bairros"] = """
+WITH p AS (SELECT DISTINCT origin_id, geometry.x AS x, geometry.y AS y FROM origins WHERE geometry IS NOT NULL AND NOT (geometry.x = 0 AND geometry.y = 0)),
+s AS (SELECT CODIGO, ring, unnest(range(1, len(ring))) AS i FROM (SELECT CODIGO, unnest(geometry) AS ring FROM bairros)),
+e AS (SELECT CODIGO, ring[i].x AS x1, ring[i].y AS y1, ring[i + 1].x AS x2, ring[i + 1].y AS y2 FROM s),
+b AS (SELECT CODIGO, min(least(x1, x2)) AS x0, max(greatest(x1, x2)) AS xx, min(least(y1, y2)) AS y0, max(greatest(y1, y2)) AS yy FROM e GROUP BY CODIGO),
+c AS (SELECT p.*, b.CODIGO FROM p JOIN b ON p.x BETWEEN b.x0 AND b.xx AND p.y BETWEEN b.y0 AND b.yy),
+inside AS (SELECT DISTINCT c.origin_id, c.CODIGO FROM c JOIN e ON e.CODIGO = c.CODIGO GROUP BY c.origin_id, c.CODIGO, c.x, c.y
+  HAVING sum(CASE WHEN (y1 > c.y) <> (y2 > c.y) AND c.x < (x2 - x1) * (c.y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1),
+n AS (SELECT i.origin_id, i.CODIGO, r.NOME FROM inside i JOIN bairros r USING (CODIGO))
+SELECT o.origin_id, CAST(n.CODIGO AS BIGINT) AS codigo, n.NOME AS nome FROM (SELECT DISTINCT origin_id FROM p) o LEFT JOIN n USING (origin_id)
+"""
+ORACLES["p4_profile"] = r"""
+WITH v AS (SELECT 'gdf_edges' AS tab, 'maxspeed' AS col, load_id, maxspeed AS v FROM gdf_edges UNION ALL SELECT 'gdf_edges', 'lanes', load_id, lanes FROM gdf_edges
+  UNION ALL SELECT 'grid', 'POP', load_id, CAST(POP AS VARCHAR) FROM grid),
+base AS (SELECT tab, col, load_id, count(*) AS n, round(avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_share, count(DISTINCT v) AS n_distinct, min(v) AS low, max(v) AS high FROM v GROUP BY ALL),
+m AS (SELECT tab, col, load_id, regexp_replace(regexp_replace(regexp_replace(v, '\d+', '9', 'g'), '\p{L}+', 'a', 'g'), '\s+', ' ', 'g') AS mask, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL),
+a AS (SELECT *, sum(n) OVER (PARTITION BY tab, col, mask) / sum(n) OVER (PARTITION BY tab, col) AS q, n / sum(n) OVER (PARTITION BY tab, col, load_id) AS p FROM m),
+j AS (SELECT tab, col, load_id, CAST(sum(CASE WHEN q < 0.01 THEN n ELSE 0 END) AS BIGINT) AS rare_n, round(sum(p / 2 * log2(p / ((p + q) / 2)) + q / 2 * log2(q / ((p + q) / 2))) + (1 - sum(q)) / 2, 6) AS js FROM a GROUP BY ALL)
+SELECT b.tab, b.col, CAST(b.load_id AS BIGINT) AS load_id, b.n, b.null_share, b.n_distinct, b.low, b.high, coalesce(j.rare_n, 0) AS rare_n, j.js FROM base b LEFT JOIN j ON j.tab = b.tab AND j.col = b.col AND j.load_id IS NOT DISTINCT FROM b.load_id
+"""
