@@ -12,7 +12,7 @@ sentence), numbers and quotations are no evidence.
 
 Defined results: null, empty and wordless texts give no row; a label is compared after normalising its notation, and
 null, blank or meaningless ones name no language; ties in characters go to the language that comes first in the
-text; repeated rows come once for each id and text. Extra columns are ignored.
+text; without any labelled sentence there is no row; repeated rows come each time. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -243,7 +243,10 @@ def languages(docs: DataFrame, samples: DataFrame) -> DataFrame:
     """
     labelled = samples.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").orderBy(F.xxhash64("text"), "lang").limit(MAX_SAMPLES)
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").filter("lang IS NOT NULL AND text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    model = docs.sparkSession.sparkContext.broadcast(train([tuple(r) for r in labelled.collect()], [(r["lang"], r["text"]) for r in known.collect()]))
+    sentences_known = [tuple(r) for r in labelled.collect()]
+    if not any(label_language(k) for k, _ in sentences_known):
+        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).limit(0).selectExpr("doc_id", *[f"CAST(NULL AS {t}) AS {n}" for n, t in (x.split() for x in _OUT.split(", ")[1:])])
+    model = docs.sparkSession.sparkContext.broadcast(train(sentences_known, [(r["lang"], r["text"]) for r in known.collect()]))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -33,9 +33,9 @@ def test_quotations_and_names_are_no_evidence():
     assert "tristeza" not in L.evidence("They walk along Rua Tristeza every day.")
 
 
-def run(spark, docs):
+def run(spark, docs, samples=SAMPLES):
     d = spark.createDataFrame([(*x, 5) for x in docs], "doc_id bigint, text string, lang string, seg int")
-    s = spark.createDataFrame(SAMPLES, "lang string, text string")
+    s = spark.createDataFrame(samples, "lang string, text string")
     return [r.asDict() for r in L.languages(d, s).collect()]
 
 
@@ -49,7 +49,7 @@ def test_documents_and_segments(spark):
 
 
 def test_empty_table(spark):
-    assert run(spark, []) == []
+    assert run(spark, []) == [] and run(spark, [(1, PT, None)], []) == [] and run(spark, [(1, PT, None)], [("??", "x")]) == []
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="needs the test tables")
