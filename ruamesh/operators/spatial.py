@@ -7,6 +7,7 @@ exactly those cells and every pair meets. Inside a cell a vantage-point tree ans
 the plane, or great-circle metres for longitude and latitude (``metric="sphere"``).
 
 * ``near_pairs``: pairs of ids at most r apart. Equal locations are joined once as one, however many ids share them.
+* ``near_between``: the same between two sets of points.
 * ``regions_of``: the polygons that a point lies strictly inside; a polygon is replicated by its bounding circle.
 * ``nearest``: a first pass in the home cell bounds the distance, a second asks only the cells that can beat it.
 
@@ -186,6 +187,29 @@ def near_pairs(points: DataFrame, radius: float, metric: str = "plane") -> DataF
     return out.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
 
+def near_between(points: DataFrame, targets: DataFrame, radius: float, metric: str = "plane") -> DataFrame:
+    """(id, target, dist): targets at most ``radius`` from a point. ``points``: (id, x, y); ``targets``: (target, x, y).
+
+    Points stay in their home cells and targets are replicated, so a point's rows arise in one cell.
+    """
+    ids = cut(_located(points, F.col("id").cast("bigint").alias("id")))
+    places = cut(ids.select("x", "y").distinct())
+    goals = _located(targets, F.col("target").cast("bigint").alias("target")).filter("target IS NOT NULL").withColumn("r", F.lit(float(radius)))
+    pivots = pick_pivots(places)
+    if not len(pivots):
+        return ids.select("id", F.lit(None).cast("bigint").alias("target"), F.lit(None).cast("double").alias("dist")).limit(0)
+    homes = places.mapInPandas(_to_cells(pivots, metric, False), "x double, y double, cell int, home boolean")
+    spread = goals.mapInPandas(_to_cells(pivots, metric, True, "r"), "target bigint, x double, y double, r double, cell int, home boolean")
+
+    def local(ps: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
+        at, to = _xy(ps), _xy(ts)
+        q, p = VPTree(to, metric).within(at, np.full(len(at), float(radius)))
+        return pd.DataFrame({"x": at[q, 0], "y": at[q, 1], "target": ts["target"].to_numpy()[p], "dist": METRICS[metric](at[q], to[p])})
+
+    hits = homes.groupBy("cell").cogroup(spread.groupBy("cell")).applyInPandas(local, "x double, y double, target bigint, dist double")
+    return hits.join(ids, ["x", "y"]).groupBy("id", "target").agg(F.min("dist").alias("dist"))
+
+
 def ring_edges(rings: str) -> F.Column:
     """All edges of a polygon's rings as array<struct<x1, y1, x2, y2>>; open rings are closed."""
     return F.expr(f"flatten(transform(filter({rings}, r -> size(r) > 2), r -> transform(r, (p, i) -> named_struct('x1', p.x, 'y1', p.y, 'x2', r[(i + 1) % size(r)].x, 'y2', r[(i + 1) % size(r)].y))))")

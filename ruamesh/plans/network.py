@@ -11,7 +11,7 @@ from ruamesh.functions import geo as G
 from ruamesh.operators import graph as GR
 from ruamesh.operators import mobility as M
 from ruamesh.operators import network as N
-from ruamesh.operators.spatial import nearest, regions_of
+from ruamesh.operators.spatial import near_between, nearest, regions_of
 from ruamesh.sources.wkt import to_wkt
 from ruamesh.streaming.trajectories import sessions, windowed_usage
 
@@ -322,6 +322,16 @@ def od_within_cap(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "od_pairs").filter("dist_m <= 30000").select("pair_id", "origin_id", "dest_node", "dist_m").distinct()
 
 
+@query(f"""WITH {_ORIGINS}, t AS (SELECT osmid AS node, min(x) AS x, min(y) AS y FROM gdf_nodes WHERE highway = 'traffic_signals' AND osmid IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY osmid)
+SELECT o.origin_id, t.node, round(min(sqrt((o.x - t.x) * (o.x - t.x) + (o.y - t.y) * (o.y - t.y))), 3) AS dist_m FROM o JOIN t ON t.x BETWEEN o.x - 500.001 AND o.x + 500.001 AND t.y BETWEEN o.y - 500.001 AND o.y + 500.001
+WHERE sqrt((o.x - t.x) * (o.x - t.x) + (o.y - t.y) * (o.y - t.y)) <= 500 + 1e-9 GROUP BY ALL""")
+def od_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Destinations of one category (signals) within the buffer of 500 m of each origin."""
+    signals = N.places(_nodes(spark, sf).filter("highway = 'traffic_signals'")).withColumnRenamed("node", "target")
+    got = near_between(_points(spark, sf).withColumnRenamed("origin_id", "id"), signals, 500.0)
+    return got.select(F.col("id").alias("origin_id"), F.col("target").alias("node"), F.round("dist", 3).alias("dist_m"))
+
+
 def _entropy_sql(group: str, item: str, rows: str) -> str:
     return f"WITH c AS (SELECT {group}, {item}, count(*) AS n FROM {rows} WHERE {group} IS NOT NULL AND {item} IS NOT NULL GROUP BY 1, 2) SELECT {group}, round(greatest(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0), 6) + 0.0 AS entropy, CAST(sum(n) AS BIGINT) AS visits FROM c GROUP BY {group}"
 

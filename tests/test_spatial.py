@@ -47,6 +47,15 @@ def test_nearest_with_ties(spark):
     assert set(got) == set(want) and all(got[i][0] == want[i][1] and abs(got[i][1] ** 2 - want[i][0]) < 1e-6 for i in want)
 
 
+def test_near_between(spark):
+    pts, goals = cloud(300, 3), [*cloud(200, 4), (5, None, 1.0)]
+    a, b = spark.createDataFrame(pts, "id bigint, x double, y double"), spark.createDataFrame(goals, "target bigint, x double, y double")
+    want = {(i, k) for i, x, y in pts for k, u, v in goals if u is not None and (x - u) ** 2 + (y - v) ** 2 <= 900}
+    got = S.near_between(a, b, 30.0).collect()
+    assert len(got) == len(want) and {(r["id"], r["target"]) for r in got} == want
+    assert S.near_between(a.limit(0), b, 30.0).count() == 0 and S.near_between(a, b.limit(0), 30.0).count() == 0
+
+
 def ring(*p):
     return [{"x": float(x), "y": float(y)} for x, y in p]
 
