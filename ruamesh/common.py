@@ -55,6 +55,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
+    """The rows with their place in an order, from 0, without a sort in one task.
+
+    The rows are range-sorted and written once; a partition's offset is the number of rows before it, of which the
+    driver sees one a partition.
+    """
+    placed = cut(df.orderBy(*order)).withColumns({"_rm_part": F.spark_partition_id(), "_rm_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = {r["_rm_part"]: r["count"] for r in placed.groupBy("_rm_part").count().collect()}
+    offsets, before = [], 0
+    for part in sorted(sizes):
+        offsets.append((part, before))
+        before += sizes[part]
+    table_ = df.sparkSession.createDataFrame(offsets, "_rm_part int, _rm_before bigint")
+    return placed.join(F.broadcast(table_), "_rm_part").withColumn(name, F.col("_rm_row") + F.col("_rm_before")).drop("_rm_part", "_rm_row", "_rm_before")
+
+
 def lookup(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join ``facts`` to ``dim``, which has one row (or few) for each key, safely under skew.
 

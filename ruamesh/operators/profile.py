@@ -13,7 +13,6 @@ loads is the mean of the middle two; repeated rows count each time.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ruamesh.common import cut, lookup
@@ -32,16 +31,15 @@ def mask_counts(df: DataFrame, column: str, load: str = "load_id") -> DataFrame:
     """(load, mask, n, rare): how often each mask occurs in each load; nulls left out."""
     texts = df.select(F.col(load).alias("load"), F.col(column).cast("string").alias("v")).filter("v IS NOT NULL").groupBy("load", "v").count()
     masks = texts.groupBy("load", mask("v").alias("mask")).agg(F.sum("count").alias("n"))
-    share = F.sum("n").over(W.partitionBy("mask")) / F.sum("n").over(W.partitionBy())
-    return masks.withColumn("rare", share < DOMINANT)
+    overall = masks.groupBy("mask").agg(F.sum("n").alias("mn")).crossJoin(F.broadcast(masks.agg(F.sum("n").alias("total"))))  # one row
+    return masks.join(overall, "mask").select("load", "mask", "n", (F.col("mn") / F.col("total") < DOMINANT).alias("rare"))
 
 
 def divergence(masks: DataFrame) -> DataFrame:
     """(load, js): Jensen-Shannon divergence in bits of each load's masks from those of all loads."""
     loads = masks.groupBy("load").agg(F.sum("n").alias("ln"))
-    allp = masks.groupBy("mask").agg(F.sum("n").alias("an"))
-    total = F.sum("an").over(W.partitionBy())
-    grid = masks.join(loads, masks.load.eqNullSafe(loads.load)).drop(loads.load).join(allp.withColumn("q", F.col("an") / total), "mask")
+    allp = masks.groupBy("mask").agg(F.sum("n").alias("an")).crossJoin(F.broadcast(masks.agg(F.sum("n").alias("total"))))  # one row
+    grid = masks.join(loads, masks.load.eqNullSafe(loads.load)).drop(loads.load).join(allp.select("mask", (F.col("an") / F.col("total")).alias("q")), "mask")
     p, q = F.col("n") / F.col("ln"), F.col("q")
     m = (p + q) / 2
     # Masks absent from a load add q/2 * log2(q / (q/2)) = q/2 each, hence the rest of q.

@@ -94,7 +94,7 @@ def decode_units(values: DataFrame, sources: DataFrame, kind: str, statement_wei
     lls = [F.avg(F.when(F.col("own").isNull(), _gauss(F.abs("num") * f / F.col("level"), kind))).alias(f"ll{k}") for k, f in enumerate(FACTORS[kind].values())]
     days = base.groupBy("source", "day").agg(*lls)
     said = statements(sources, kind)
-    seen = days.join(F.broadcast(said.limit(10_000)), (days.source == said.source) & (F.coalesce(days.day >= said["first"], F.lit(True))) & F.coalesce(days.day <= said["last"], F.lit(True)), "left").groupBy(days.source, days.day).agg(*[F.first(f"ll{k}").alias(f"ll{k}") for k in range(len(lls))], F.sort_array(F.collect_set("unit")).alias("said"))
+    seen = days.join(said, (days.source == said.source) & (F.coalesce(days.day >= said["first"], F.lit(True))) & F.coalesce(days.day <= said["last"], F.lit(True)), "left").groupBy(days.source, days.day).agg(*[F.first(f"ll{k}").alias(f"ll{k}") for k in range(len(lls))], F.sort_array(F.collect_set("unit")).alias("said"))
     states = cut(seen.groupBy("source").applyInPandas(_decode(kind, common, statement_weight), "source string, day date, decoded string"))
     out = lookup(base, states, ["source", "day"])
     return out.withColumn("unit", F.coalesce("own", "decoded")).withColumn("si", F.col("num") * factor("unit", kind))
