@@ -9,6 +9,7 @@ from ruamesh.operators import spatial as S
 @pytest.fixture(autouse=True)
 def small_cells(monkeypatch):
     monkeypatch.setattr(S, "PER_CELL", 20)
+    monkeypatch.setattr(S, "PER_SLOT", 3)
 
 
 def cloud(n, seed=1, size=1000.0):
