@@ -367,7 +367,9 @@ def street_ids(names: DataFrame, column: str = "name") -> DataFrame:
 
     # Forms of the streets that are left; a form that several share settles nothing by itself.
     left = final.filter("to = sid").drop("to").withColumn("initial", F.substring("first", 1, 1))
-    forms = F.array(F.concat_ws("|", F.lit("i"), "kind", "initial", "last"), F.concat_ws("|", F.lit("f"), F.lit(""), "first", "last"), F.concat_ws("|", F.lit("i"), F.lit(""), "initial", "last"))
+    person = ~F.col("first").isin(*ORGANISATIONS)  # an organisation isn't called by an initial
+    short = [F.when(person, F.concat_ws("|", F.lit("i"), kind, "initial", "last")) for kind in (F.col("kind"), F.lit(""))]
+    forms = F.array_compact(F.array(*short, F.concat_ws("|", F.lit("f"), F.lit(""), "first", "last")))
     by_form = left.select(F.explode(forms).alias("form"), F.col("middle").alias("tmiddle"), F.col("title").alias("ttitle"), F.col("w").alias("tw"), "sid").withColumn("shared", F.count(F.lit(1)).over(W.partitionBy("form")))
     part = parsed.filter("kind = '' OR length(first) = 1")
     tag = F.when(F.length("first2") == 1, F.lit("i")).otherwise(F.lit("f"))
