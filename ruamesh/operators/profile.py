@@ -48,6 +48,7 @@ def divergence(masks: DataFrame) -> DataFrame:
 
 def load_findings(loads: DataFrame) -> DataFrame:
     """(load_id, finding) from (load_id, share, mean): nulls and shift against the medians of all loads."""
+    loads = cut(loads)  # one row a load, read three times
     med = loads.agg(F.median("share").alias("ms"), F.median("mean").alias("mm"))
     both = loads.crossJoin(F.broadcast(med))  # one row
     nulls = both.filter(F.col("share") > NULLS_TIMES * F.col("ms")).select("load_id", F.lit("nulls").alias("finding"))
@@ -78,6 +79,7 @@ def number_findings(rows: DataFrame, violations: DataFrame, values: DataFrame, l
     per = values.groupBy("row_id").agg(F.max(F.coalesce(out, F.lit(False))).alias("out"), F.min(F.struct("pos", "num"))["num"].alias("first_num"))
     marked = lookup(rows, cut(violations.withColumn("bad", F.lit(True))), ["text"], "left")
     joined = marked.join(per, "row_id", "left").select("row_id", "load_id", F.col("text").isNull().alias("gone"), F.when(F.col("bad"), F.lit("pattern")).when(F.col("out"), F.lit("range")).alias("finding"), "first_num")
+    joined = cut(joined)  # read for the loads and for the findings
     loads = joined.groupBy("load_id").agg(F.avg(F.col("gone").cast("double")).alias("share"), F.avg(F.when(F.col("finding").isNull() & ~F.col("gone"), F.col("first_num"))).alias("mean"))
     by_load = load_findings(loads).select("load_id", F.lit(0).cast("bigint").alias("row_id"), "finding")
     return joined.filter("finding IS NOT NULL").select("load_id", "row_id", "finding").unionByName(by_load)
