@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ruamesh.common import table
 from ruamesh.functions import classify as C
 from ruamesh.functions import geo as G
+from ruamesh.operators import edges as E
 from ruamesh.operators import graph as GR
 from ruamesh.operators import mobility as M
 from ruamesh.operators import network as N
@@ -373,9 +374,14 @@ def od_by_month(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_FULL} SELECT ch.row_id, round(length_mm / 1000 / (try_cast(e.maxspeed AS DOUBLE) / 3.6), 6) AS seconds FROM ch JOIN gdf_edges e USING (row_id) WHERE try_cast(e.maxspeed AS DOUBLE) > 0 AND regexp_full_match(e.maxspeed, '[0-9]+')")
 def travel_times(spark: SparkSession, sf: str) -> DataFrame:
-    """Seconds along each edge whose speed is one plain number."""
-    e = N.characterised(_edges(spark, sf).filter(F.col("maxspeed").rlike("^[0-9]+$")).select("row_id", "u", "v", "highway", "geometry", F.col("maxspeed").cast("double").alias("kmh")), _nodes(spark, sf))
-    return e.filter("kmh > 0").select("row_id", F.round(M.travel_seconds(F.col("length_mm") / 1000, F.col("kmh")), 6).alias("seconds"))
+    """Seconds along each edge at the first of its speeds, taken in km/h from ``edges.speeds``; no row without a positive speed.
+
+    The SQL knows bare numbers taken as km/h only, so it agrees on those rows alone (see the README).
+    """
+    speed = E.speeds(_edges(spark, sf).select("row_id", "load_id", "maxspeed", "note", "source", "loaded_at"), table(spark, sf, "fontes"))
+    first = speed.filter("si > 0").groupBy("row_id").agg(F.min_by("si", "pos").alias("kmh"))
+    e = _characterised(spark, sf).join(first, "row_id")
+    return e.select("row_id", F.round(M.travel_seconds(F.col("length_mm") / 1000, F.col("kmh")), 6).alias("seconds"))
 
 
 @query("SELECT DISTINCT CODIGO AS codigo, NOME || ', Porto Alegre' AS place FROM bairros")
