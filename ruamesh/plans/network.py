@@ -414,7 +414,7 @@ def edge_wkt(spark: SparkSession, sf: str) -> DataFrame:
     return N.filled_edges(_edges(spark, sf).select("row_id", "u", "v", "geometry"), _nodes(spark, sf)).select("row_id", to_wkt("geometry").alias("wkt"))
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS visits, count(DISTINCT user_id) AS users FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2")
 def usage_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming operator over the table as a batch."""
     return windowed_usage(table(spark, sf, "events"), "ts", "event_type", "user_id")
