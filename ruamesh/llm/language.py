@@ -41,7 +41,8 @@ MAX_SAMPLES = 20_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 15, 0.5
 #: Least calibrated confidence of a sentence, log price of changing language, least and greatest subword length.
 REJECT, CHANGE = 0.5, -4.0
-#: Words of evidence from which on a sentence speaks in full; with fewer it speaks in proportion.
+#: Words of evidence from which on a sentence speaks in full; with fewer it speaks in proportion, unless its odds alone
+#: outweigh the price of a change to its language and back.
 FULL_WORDS = 4
 #: Most labelled documents whose sentences are learned too, least probability of the label for that; rounds of that.
 MAX_LABELLED, AGREE, MORE_EPOCHS = 1500, 0.05, 4
@@ -218,7 +219,10 @@ def decode(model: Model, parts: list[str]) -> tuple[list[int], list[float]]:
     probs = _softmax(np.array([model.logits(w) for w in words], dtype=float))
     sure = probs.max(axis=1) >= REJECT
     full = np.minimum(1.0, np.array([len(w) for w in words]) / FULL_WORDS)
-    emit = np.where(sure[:, None], np.log(probs + 1e-6), 0.0) * full[:, None]
+    logs = np.log(probs + 1e-6)
+    best = np.sort(logs, axis=1)
+    full[best[:, -1] - best[:, -2] > -2 * CHANGE] = 1.0
+    emit = np.where(sure[:, None], logs, 0.0) * full[:, None]
     score, back = emit[0], []
     for row in emit[1:]:
         move = np.maximum(score, score.max() + CHANGE)
