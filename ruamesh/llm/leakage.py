@@ -105,15 +105,16 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, shortest: int | N
     n_words is the item's; longest is its longest tile and covered the sum of all tiles of at least ``shortest``.
     """
     shortest = shortest or seed
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text IS NOT NULL")
-    i = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item")).filter("item IS NOT NULL").distinct()
+    # Keys go as text: pandas would turn whole numbers beside a null into floats.
+    d = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), "text").filter("text IS NOT NULL")
+    i = items.select(F.col("item_id").cast("bigint").cast("string").alias("item_id"), F.col("text").alias("item")).filter("item IS NOT NULL").distinct()
 
     def item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [(k, s) for k, t in zip(pdf["item_id"], pdf["item"]) for s in set(windows(hashes(words(t)), seed).astype(np.int64).tolist())]
             yield pd.DataFrame(out, columns=["item_id", "seed"])
 
-    seeds = cut(i.mapInPandas(item_seeds, "item_id bigint, seed bigint"))
+    seeds = cut(i.mapInPandas(item_seeds, "item_id string, seed bigint"))
     known = None
     if seeds.count() <= max_seeds:
         known = docs.sparkSession.sparkContext.broadcast(np.unique(np.fromiter((r[0] for r in seeds.select("seed").toLocalIterator()), dtype=np.int64)))
@@ -133,7 +134,7 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, shortest: int | N
             yield pd.DataFrame(out, columns=["doc_id", "text", "seeds"])
 
     # Only documents that hold a seed are written and move on with their text.
-    hits = cut(d.mapInPandas(doc_seeds, "doc_id bigint, text string, seeds array<bigint>"))
+    hits = cut(d.mapInPandas(doc_seeds, "doc_id string, text string, seeds array<bigint>"))
     pairs = lookup(hits.select("doc_id", F.explode("seeds").alias("seed")), seeds, ["seed"]).select("doc_id", "item_id").distinct()
     texts = hits.select("doc_id", "text").distinct()
 
@@ -146,5 +147,8 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, shortest: int | N
                 out.append((k, q, len(a), max((g[2] for g in got), default=0), sum(g[2] for g in got)))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "longest", "covered"])
 
-    both = pairs.join(texts, "doc_id").join(i, "item_id")
-    return both.mapInPandas(tile, "doc_id bigint, item_id bigint, n_words bigint, longest bigint, covered bigint")
+    # A null key must find itself.
+    both = pairs.alias("p").join(texts.alias("t"), F.col("p.doc_id").eqNullSafe(F.col("t.doc_id"))).select("p.*", "text")
+    both = both.alias("p").join(i.alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id"))).select("p.*", "item")
+    got = both.mapInPandas(tile, "doc_id string, item_id string, n_words bigint, longest bigint, covered bigint")
+    return got.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "item_id": F.col("item_id").cast("bigint")})

@@ -96,12 +96,13 @@ def halves(text: str, most: int) -> list[str]:
     return [text[k : k + step] for k in range(0, len(text), step)]
 
 
-_NODE = "_rm_doc bigint, _rm_hash bigint, _rm_part bigint, text string, ids array<int>, ends array<int>, upto array<int>"
+_NODE = "_rm_doc string, _rm_hash bigint, _rm_part bigint, text string, ids array<int>, ends array<int>, upto array<int>"
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{FOLDER}/{VOCABULARY}", split_chars: int = SPLIT_CHARS) -> DataFrame:
     """(key, ids) of every document."""
-    base = docs.select(F.col(key).cast("bigint").alias("_rm_doc"), F.col(text).alias("text"))
+    # The key goes as text: pandas would turn whole numbers beside a null into floats.
+    base = docs.select(F.col(key).cast("bigint").cast("string").alias("_rm_doc"), F.col(text).alias("text"))
     size = F.coalesce(F.length("text"), F.lit(0))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,14 +130,15 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
         first = rows.iloc[0]
         return pd.DataFrame([(first["_rm_doc"], first["_rm_hash"], first["_rm_part"] // 2, *node)], columns=["_rm_doc", "_rm_hash", "_rm_part", "text", "ids", "ends", "upto"])
 
-    out = base.filter(size <= split_chars).mapInPandas(whole, "_rm_doc bigint, ids array<int>")
+    out = base.filter(size <= split_chars).mapInPandas(whole, "_rm_doc string, ids array<int>")
     long = base.filter(size > split_chars).withColumn("_rm_hash", F.xxhash64("text"))
     copies = cut(long.groupBy("_rm_doc", "_rm_hash").agg(F.count(F.lit(1)).alias("_rm_n"), F.max(F.length("text")).alias("_rm_len")))
     longest = copies.agg(F.max("_rm_len")).first()[0] or 0
-    nodes = long.dropDuplicates(["_rm_doc", "_rm_hash"]).mapInPandas(parts, "_rm_doc bigint, _rm_hash bigint, _rm_part bigint, text string")
+    nodes = long.dropDuplicates(["_rm_doc", "_rm_hash"]).mapInPandas(parts, "_rm_doc string, _rm_hash bigint, _rm_part bigint, text string")
     nodes = nodes.repartition("_rm_doc", "_rm_hash", "_rm_part").mapInPandas(encode_parts, _NODE)
     while longest > split_chars:
         nodes = cut(nodes.groupBy("_rm_doc", "_rm_hash", F.floor(F.col("_rm_part") / 2).alias("_rm_pair")).applyInPandas(join_parts, _NODE))
         longest = -(-longest // 2)
-    nodes = nodes.join(copies, ["_rm_doc", "_rm_hash"]).withColumn("_rm_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_rm_n")))
-    return out.unionByName(nodes.select("_rm_doc", "ids")).select(F.col("_rm_doc").alias(key), "ids")
+    # A null key must find itself.
+    nodes = nodes.alias("a").join(copies.alias("b"), F.col("a._rm_doc").eqNullSafe(F.col("b._rm_doc")) & (F.col("a._rm_hash") == F.col("b._rm_hash"))).select("a._rm_doc", "ids", "_rm_n").withColumn("_rm_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_rm_n")))
+    return out.unionByName(nodes.select("_rm_doc", "ids")).select(F.col("_rm_doc").cast("bigint").alias(key), "ids")
