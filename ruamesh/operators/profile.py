@@ -60,7 +60,8 @@ def rare_mask_texts(texts: DataFrame) -> DataFrame:
     """(text) of those that violate the column's patterns, from (text, n, well_formed) by distinct text.
 
     A mask is a pattern of the column when it is dominant and all its texts are well-formed. The texts of all other
-    masks are candidates, and the exact check decides: those that are not well-formed come out.
+    masks are candidates, and the exact check decides: those that are not well-formed come out. As a pattern holds no
+    ill-formed text, the result is that of the exact check alone.
     """
     masked = texts.withColumn("mask", mask("text"))
     total = masked.agg(F.sum("n").alias("total"))
