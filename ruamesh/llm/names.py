@@ -319,9 +319,12 @@ def _best(matches: DataFrame, key: list[str], heavier: bool = False) -> DataFram
 
 
 def _follow(step: DataFrame) -> DataFrame:
-    """(sid, to) with the chains cut short: a rewriting leads to a more frequent token, three jumps follow eight."""
-    for _ in range(3):
+    """(sid, to) with the chains cut short: jumps double until none leads on; a circle ends after as many as any chain could need."""
+    step = cut(step)
+    for _ in range(step.count().bit_length()):
         nxt = step.select(F.col("sid").alias("to"), F.col("to").alias("to2"))
+        if step.join(nxt, "to", "left_semi").isEmpty():
+            break
         step = cut(step.join(nxt, "to", "left").select("sid", F.coalesce("to2", "to").alias("to")))
     return step
 
@@ -354,7 +357,7 @@ def street_ids(names: DataFrame, column: str = "name") -> DataFrame:
 
     def moves(df: DataFrame, given: DataFrame, to: DataFrame, heavier: bool) -> DataFrame:
         met = rewritten(df.drop("sid"), given).filter("first2 <> first OR last2 <> last").join(targets(to), ["kind", "first2", "last2"])
-        return _follow(cut(_best(met, ["kind", "first", "last"], heavier).select(F.concat_ws("|", "kind", "first", "last").alias("sid"), F.col("sid").alias("to"))))
+        return _follow(_best(met, ["kind", "first", "last"], heavier).select(F.concat_ws("|", "kind", "first", "last").alias("sid"), F.col("sid").alias("to")))
 
     # Fully written streets: slips lead to the right spelling first, then nicknames to the given name.
     full = parsed.filter("kind <> '' AND length(first) <> 1")
