@@ -39,7 +39,7 @@ def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     found = languages(table(spark, sf, "documents"), table(spark, sf, "lang_samples"))
-    wrong = (F.col("seg") == 0) & ~F.coalesce(F.col("named") == F.col("lang"), F.lit(False))
+    wrong = (F.col("seg") == 0) & F.col("lang").isNotNull() & ~F.coalesce(F.col("named") == F.col("lang"), F.lit(False))
     return found.filter(wrong | (F.col("seg") > 0) & (F.col("n_runs") > 1)).select("doc_id", "seg", "lang").distinct()
 
 

@@ -58,3 +58,46 @@ def test_held_out_accuracy(spark):
     model = L.train(rows[::2])
     right = sum(L.LANGS[int(model.logits(L.evidence(t)).argmax())] == L.label_language(k) for k, t in rows[1::2])
     assert right / len(rows[1::2]) > 0.97
+
+
+def test_data_is_no_sentence():
+    assert L.sentences("LINESTRING (421084.6 6582270.9, 419445.8 6519988.5") == L.sentences("Ab3/" * 40) == []
+    assert L.sentences('Fim.\n{"u": 1, "name": "x"}') == ['Fim.\n{"u": 1, "name": "x"}']
+    assert L.evidence("<|endoftext|>Poste caído, desde ontem.") == ["poste", "caído", "desde", "ontem"]
+
+
+def test_quotations_of_any_length_are_no_evidence():
+    assert "street" not in L.evidence('Usei o comando "' + "street network " * 50 + '" e sobraram trechos.')
+
+
+def test_votes_of_labels_find_a_sentence_s_own_language():
+    rows = [("pt", PT)] * 6 + [("en", PT)] * 2 + [("xx", PT), (None, EN), ("en", None)]
+    (sentence, votes), *rest = L.tally(rows).values()
+    assert sentence == PT and votes.tolist() == [6, 2, 0, 0] and not rest
+
+
+def test_a_document_of_rejected_sentences_has_no_language(spark, monkeypatch):
+    monkeypatch.setattr(L, "REJECT", 1.1)
+    import numpy as np
+
+    assert list(L._rows("1", "pt", ["a b."], np.array([[0.4, 0.3, 0.2, 0.1]]), -2.0)) == [("1", 0, None, 0.4, 4, "pt", 1)]
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="needs the test tables")
+def test_planted_segments_are_found(spark):
+    """Texts mixed from labelled sentences that were not learned: label swaps, single foreign sentences, clipped notes."""
+    import numpy as np
+
+    rows = [tuple(r) for r in spark.read.parquet(DATA).select("lang", "text").orderBy("sample_id").collect()]
+    docs = [tuple(r) for r in spark.read.parquet(DATA.replace("lang_samples", "documents")).select("lang", "text").collect()]
+    model, rng = L.train(rows[::2], L.tally(docs)), np.random.default_rng(3)
+    by = {k: [t.strip() for lang, t in rows[1::2] if lang == k] for k in L.LANGS}
+    right, n = 0, 400
+    for _ in range(n):
+        main, other = rng.choice(L.LANGS, 2, replace=False)
+        length, run = int(rng.integers(3, 10)), int(rng.integers(0, 3))
+        at = int(rng.integers(0, length))
+        truth = [main] * at + [other] * run + [main] * (length - at)
+        path, _ = L.decode(model, [" " + str(rng.choice(by[k])) for k in truth])
+        right += [L.LANGS[j] for j in path] == truth
+    assert right / n > 0.95
