@@ -58,6 +58,7 @@ _GRAMS = (1, 4)
 ABBREVIATIONS = "av avda r tv trav tr estr al alam pca pça dr dra sr sra srs prof profa eng enga gen mal cel cap ten ver vera pe d n nº no num pag p ex etc st mr mrs ms vs m mme mlle bd bld apto"
 _ABBR = frozenset(ABBREVIATIONS.split())
 _END = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s|$))|(?:\n\s*\n)")
+_LAST_WORD = re.compile(r"([^\W\d_]+|nº)$")
 _TOKEN = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*(?:['’]\p{Latin}[\p{Latin}\p{M}]*)?")
 _QUOTED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»")
 _RECORD = re.compile(r"\{[^{}]*\}|\[[^\[\]]*\d[^\[\]]*\]|<\|[^|<>]*\|>|</?[A-Za-z][^<>]*>|\b[A-Z]{4,} ?\([-+\d.,;\s()]*(?:\)|$)")
@@ -80,20 +81,20 @@ def label_language(label: str | None) -> str | None:
 def _bare(text: str) -> str:
     if "{" in text or "[" in text or "<" in text or "(" in text:
         text = _RECORD.sub(" ", text)
-    return _UNBROKEN.sub(" ", text) if len(text) > LONGEST_WORD else text
+    return _UNBROKEN.sub(" ", text) if len(text) > LONGEST_WORD and _UNBROKEN.search(text) else text
 
 
 def _worded(piece: str) -> bool:
     """Whether a piece holds a word outside data records such as JSON and outside markup."""
-    return bool(_TOKEN.search(_bare(piece)))
+    return bool(_TOKEN.search(piece)) and bool(_TOKEN.search(_bare(piece)))
 
 
 def sentences(text: str) -> list[str]:
     """Whole sentences; what holds no word goes with the sentence before (or after, at the beginning)."""
-    cuts, out = [], []
+    cuts, out, worded = [], [], []
     for m in _END.finditer(text):
-        if m.group()[0] == ".":
-            before = re.search(r"([^\W\d_]+|nº)$", text[max(0, m.start() - 8) : m.start()])
+        if text[m.start()] == ".":
+            before = _LAST_WORD.search(text, max(0, m.start() - 8), m.start())
             if before and before.group().lower() in _ABBR and m.group() == ".":
                 continue
             if before and len(before.group()) == 1 and before.group().isupper():
@@ -102,12 +103,17 @@ def sentences(text: str) -> list[str]:
     start = 0
     for c in [*cuts, len(text)]:
         piece = text[start:c]
-        if out and (not _worded(piece) or not _worded(out[-1])):
+        start = c
+        if not piece:
+            continue
+        has = _worded(piece)
+        if out and not (has and worded[-1]):
             out[-1] += piece
-        elif piece:
+            worded[-1] = worded[-1] or has
+        else:
             out.append(piece)
-        start = c
-    return [s for s in out if _worded(s)]
+            worded.append(has)
+    return [s for s, w in zip(out, worded) if w]
 
 
 def _plain(s: str) -> str:
@@ -116,13 +122,16 @@ def _plain(s: str) -> str:
 
 def evidence(sentence: str) -> list[str]:
     """Words that speak for a language: no quotations, and no capitalised words inside a mixed-case sentence."""
-    s = _bare(unicodedata.normalize("NFC", _DRESS.sub("", _bare(sentence))))
-    bare = _QUOTED.sub(" ", s) if '"' in s or "“" in s or "«" in s else s
-    tokens = _TOKEN.findall(bare if len(_TOKEN.findall(bare)) >= 2 else s)
+    s = _bare(_DRESS.sub("", _bare(sentence)))
+    if not s.isascii():
+        s = unicodedata.normalize("NFC", s)
+    tokens = _TOKEN.findall(_QUOTED.sub(" ", s) if '"' in s or "“" in s or "«" in s else s)
+    if len(tokens) < 2:
+        tokens = _TOKEN.findall(s)
     if any(t.islower() for t in tokens):
         kept = [t for k, t in enumerate(tokens) if k == 0 or not t[0].isupper()]
         tokens = kept if len(kept) >= 2 else tokens
-    return [t.lower().replace("’", "'") for t in tokens]
+    return [t.lower() for t in tokens] if "’" not in s else [t.lower().replace("’", "'") for t in tokens]
 
 
 def grams(w: str) -> list[int]:
