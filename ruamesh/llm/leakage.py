@@ -1,20 +1,23 @@
 """Evaluation passages inside training texts: greedy string tiling over seeds, by running Karp-Rabin.
 
-Both sides become words (longest runs of letters and digits, case and accents dropped, markup removed). Every window
-of ``seed`` words of an item is a seed; a document and an item that share one become a pair. Each pair is tiled: the
-longest common runs are marked first, they never overlap, and shorter and shorter runs follow down to ``shortest``
-words, found by a rolling hash and then compared word by word. Tiles may stand in any order, so that their summed
-length shows an item whose parts were moved.
+Both sides become words (longest runs of letters and digits, case and accents dropped, markup removed), and each word
+a 64-bit hash, once a text. Every window of ``seed`` words of an item is a seed; a document and an item that share one
+are a candidate pair, no more. The pair's tiles decide: runs of equal windows along a diagonal are the common runs;
+the longest is marked first, what a mark leaves of the others goes back into the queue, tiles never overlap, and runs
+of fewer words than a seed are no tiles. Tiles may stand in any order, so their summed length shows an item
+whose parts were moved.
 
 The items' seeds are looked up in the Python worker while there are at most ``MAX_SEEDS`` of them (a sorted array of
 64-bit hashes, so 16 MB); beyond that the documents' windows are exploded and equi-joined. Both give the same pairs.
+Pairs are dealt evenly to tasks before they are tiled, so that a boilerplate document or item is no task of its own.
 
 Defined results: null texts and texts or items of fewer words than a seed give no row; repeated texts are reported
-under each of their ids, items likewise; a document of any length is read whole.
+under each of their ids, items likewise; repeated rows come once; a document of any length is read whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 import unicodedata
@@ -28,7 +31,10 @@ from pyspark.sql import functions as F
 
 from ruamesh.common import cut, lookup
 
-SEED = 12
+#: Words of a seed, and of the shortest tile; words of a tile that is a leak.
+SEED, LEAK = 8, 12
+#: Equal windows of a pair that are held at once.
+MAX_EQUAL = 4_000_000
 MAX_SEEDS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD, _MARKS, _TAG = re.compile(r"[^\W_]+"), re.compile("[̀-ͯ]+"), re.compile(r"</?[A-Za-z][^<>]*>|<\|\w+\|>")
@@ -45,8 +51,20 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text)).casefold())
 
 
+_HASHES: dict[str, int] = {}
+
+
 def hashes(tokens: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in tokens), dtype=np.uint64, count=len(tokens))
+    """64-bit hash of each word; those of some 500,000 words are kept."""
+    if len(_HASHES) > 500_000:
+        _HASHES.clear()
+    out = np.empty(len(tokens), dtype=np.uint64)
+    for k, w in enumerate(tokens):
+        h = _HASHES.get(w)
+        if h is None:
+            h = _HASHES[w] = xxhash.xxh3_64_intdigest(w)
+        out[k] = h
+    return out
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -61,94 +79,120 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def common_runs(item: np.ndarray, text: np.ndarray, shortest: int) -> np.ndarray:
+    """Rows (words, text position, item position) of the longest common runs of at least ``shortest`` words."""
+    wi, wt = windows(item, shortest), windows(text, shortest)
+    order = np.argsort(wi, kind="stable")
+    lo, hi = np.searchsorted(wi[order], wt, "left"), np.searchsorted(wi[order], wt, "right")
+    n = hi - lo
+    at = np.flatnonzero(n)
+    parts, done = [], 0
+    upto = np.cumsum(n[at])
+    while done < len(at):
+        # As many text positions as keep the pairs within bounds, at least one.
+        last = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + MAX_EQUAL, "right")))
+        t = at[done:last]
+        k = np.repeat(lo[t], n[t]) + np.arange(n[t].sum()) - np.repeat(np.cumsum(n[t]) - n[t], n[t])
+        i, t = order[k], np.repeat(t, n[t])
+        line = np.lexsort((t, t - i))
+        i, t = i[line], t[line]
+        begin = np.flatnonzero(np.r_[True, (np.diff(t - i) != 0) | (np.diff(t) != 1)])
+        parts.append(np.column_stack([np.diff(np.r_[begin, len(t)]), t[begin], i[begin]]))
+        done = last
+    if not parts:
+        return np.empty((0, 3), dtype=np.int64)
+    runs = np.concatenate(parts)
+    if len(parts) > 1:  # runs that go on in the next part
+        runs = runs[np.lexsort((runs[:, 1], runs[:, 1] - runs[:, 2]))]
+        diagonal, end = runs[:, 1] - runs[:, 2], runs[:, 1] + runs[:, 0]
+        begin = np.flatnonzero(np.r_[True, (np.diff(diagonal) != 0) | (runs[1:, 1] != end[:-1])])
+        runs = np.column_stack([np.add.reduceat(runs[:, 0], begin), runs[begin, 1], runs[begin, 2]])
+    runs[:, 0] += shortest - 1
+    return runs
+
+
 def tiles(item: list[str], text: list[str], shortest: int) -> list[tuple[int, int, int]]:
     """(item position, text position, words) of the tiles, longest first; ties: first in the text, then in the item."""
-    hi, ht = hashes(item), hashes(text)
-    used_i, used_t = np.zeros(len(item), bool), np.zeros(len(text), bool)
-    out, size = [], max(shortest, min(len(item), len(text), 4 * shortest))
-    while size >= shortest:
-        found = []
-        if min(len(hi), len(ht)) >= size:
-            wi, wt = windows(hi, size), windows(ht, size)
-            at: dict[int, list[int]] = {}
-            for i, w in enumerate(wi.tolist()):
-                if not used_i[i : i + size].any():
-                    at.setdefault(w, []).append(i)
-            for t in np.flatnonzero(np.isin(wt, wi)).tolist():
-                if used_t[t : t + size].any():
-                    continue
-                best = (0, 0)
-                for i in at.get(int(wt[t]), ()):
-                    n = 0
-                    while i + n < len(item) and t + n < len(text) and not used_i[i + n] and not used_t[t + n] and item[i + n] == text[t + n]:
-                        n += 1
-                    best = max(best, (n, -i))
-                if best[0] >= size:
-                    found.append((best[0], t, -best[1]))
-        longest = max((f[0] for f in found), default=0)
-        if longest > 2 * size:
-            size = longest  # start again so that the longest are marked first
+    return tiles_of(hashes(item), hashes(text), shortest)
+
+
+def tiles_of(item: np.ndarray, text: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
+    """``tiles`` of hashed words."""
+    queue = [(-n, t, i) for n, t, i in common_runs(item, text, shortest).tolist()]
+    if not queue:
+        return []
+    heapq.heapify(queue)
+    used_i, used_t, out, free = np.zeros(len(item), bool), np.zeros(len(text), bool), [], len(item)
+    while queue and free >= shortest:
+        n, t, i = heapq.heappop(queue)
+        n = -n
+        used = used_i[i : i + n] | used_t[t : t + n]
+        if not used.any():
+            used_i[i : i + n] = used_t[t : t + n] = True
+            free -= n
+            out.append((i, t, n))
             continue
-        for n, t, i in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-            if not (used_i[i : i + n].any() or used_t[t : t + n].any()):
-                used_i[i : i + n] = used_t[t : t + n] = True
-                out.append((i, t, n))
-        if found:
-            continue  # what an overlap left over may still hold runs of this size
-        size = size // 2 if size // 2 > shortest else size - 1 if size == shortest else shortest
+        edge = np.flatnonzero(np.diff(np.r_[True, used, True].astype(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a >= shortest:
+                heapq.heappush(queue, (a - b, t + a, i + a))
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, shortest: int | None = None, max_seeds: int = MAX_SEEDS) -> DataFrame:
-    """(doc_id, item_id, n_words, longest, covered) for each document and item that share a seed.
+def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, least: int = LEAK, max_seeds: int = MAX_SEEDS) -> DataFrame:
+    """(doc_id, item_id, n_words, longest, covered) for each document and item with a tile of ``least`` words or more.
 
-    n_words is the item's; longest is its longest tile and covered the sum of all tiles of at least ``shortest``.
+    n_words is the item's; longest is its longest tile and covered the sum of all tiles of at least ``seed`` words.
     """
-    shortest = shortest or seed
+    spark = docs.sparkSession
     # Keys go as text: pandas would turn whole numbers beside a null into floats.
-    d = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), "text").filter("text IS NOT NULL")
-    i = items.select(F.col("item_id").cast("bigint").cast("string").alias("item_id"), F.col("text").alias("item")).filter("item IS NOT NULL").distinct()
+    d = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter("text IS NOT NULL")
+    i = items.select(F.col("item_id").cast("bigint").cast("string").alias("item_id"), F.xxhash64("text").alias("ih"), F.col("text").alias("item")).filter("item IS NOT NULL").distinct()
 
     def item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, s) for k, t in zip(pdf["item_id"], pdf["item"]) for s in set(windows(hashes(words(t)), seed).astype(np.int64).tolist())]
-            yield pd.DataFrame(out, columns=["item_id", "seed"])
+            out = []
+            for k, h, t in zip(pdf["item_id"], pdf["ih"], pdf["item"]):
+                w = hashes(words(t))
+                out.append((k, h, w.astype(np.int64), np.unique(windows(w, seed)).astype(np.int64)))
+            yield pd.DataFrame(out, columns=["item_id", "ih", "item", "seeds"])
 
-    seeds = cut(i.mapInPandas(item_seeds, "item_id string, seed bigint"))
+    hashed = cut(i.mapInPandas(item_seeds, "item_id string, ih bigint, item array<bigint>, seeds array<bigint>"))
+    seeds = hashed.select("item_id", "ih", F.explode("seeds").alias("seed"))
     known = None
-    if seeds.count() <= max_seeds:
-        known = docs.sparkSession.sparkContext.broadcast(np.unique(np.fromiter((r[0] for r in seeds.select("seed").toLocalIterator()), dtype=np.int64)))
+    if (hashed.agg(F.sum(F.size("seeds"))).first()[0] or 0) <= max_seeds:
+        known = spark.sparkContext.broadcast(np.unique(np.fromiter((r[0] for r in seeds.select("seed").toLocalIterator()), dtype=np.int64)))
 
     def doc_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, t in zip(pdf["doc_id"], pdf["text"]):
-                w = np.unique(windows(hashes(words(t)), seed).astype(np.int64))
+            for k, h, t in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
+                all_words = hashes(words(t))
+                w = windows(all_words, seed).astype(np.int64)
                 if known is not None and len(w):
-                    # Both are sorted and distinct.
                     at = np.searchsorted(known.value, w)
                     at[at == len(known.value)] = 0
                     w = w[known.value[at] == w] if len(known.value) else w[:0]
                 if len(w):
-                    out.append((k, t, w.tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "seeds"])
+                    out.append((k, h, all_words.astype(np.int64), np.unique(w)))
+            yield pd.DataFrame(out, columns=["doc_id", "th", "words", "seeds"])
 
-    # Only documents that hold a seed are written and move on with their text.
-    hits = cut(d.mapInPandas(doc_seeds, "doc_id string, text string, seeds array<bigint>"))
-    pairs = lookup(hits.select("doc_id", F.explode("seeds").alias("seed")), seeds, ["seed"]).select("doc_id", "item_id").distinct()
-    texts = hits.select("doc_id", "text").distinct()
+    # Only documents that hold a seed are written and move on with their words.
+    hits = cut(d.mapInPandas(doc_seeds, "doc_id string, th bigint, words array<bigint>, seeds array<bigint>"))
+    pairs = lookup(hits.select("doc_id", "th", F.explode("seeds").alias("seed")), seeds, ["seed"]).select("doc_id", "th", "item_id", "ih").distinct()
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, q, t, x in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item"]):
-                a = words(x)
-                got = tiles(a, words(t), shortest)
-                out.append((k, q, len(a), max((g[2] for g in got), default=0), sum(g[2] for g in got)))
+            for k, q, t, x in zip(pdf["doc_id"], pdf["item_id"], pdf["words"], pdf["item"]):
+                got = tiles_of(np.asarray(x, np.int64).view(np.uint64), np.asarray(t, np.int64).view(np.uint64), seed)
+                out.append((k, q, len(x), max((g[2] for g in got), default=0), sum(g[2] for g in got)))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "longest", "covered"])
 
     # A null key must find itself.
-    both = pairs.alias("p").join(texts.alias("t"), F.col("p.doc_id").eqNullSafe(F.col("t.doc_id"))).select("p.*", "text")
-    both = both.alias("p").join(i.alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id"))).select("p.*", "item")
-    got = both.mapInPandas(tile, "doc_id string, item_id string, n_words bigint, longest bigint, covered bigint")
-    return got.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "item_id": F.col("item_id").cast("bigint")})
+    h, g = hits.alias("h"), hashed.alias("g")
+    both = pairs.alias("p").join(h, F.col("p.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("p.th") == F.col("h.th"))).select("p.*", "h.words")
+    both = both.alias("p").join(g, F.col("p.item_id").eqNullSafe(F.col("g.item_id")) & (F.col("p.ih") == F.col("g.ih"))).select("p.*", "g.item")
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    got = both.repartition(width, "doc_id", "th", "item_id", "ih").mapInPandas(tile, "doc_id string, item_id string, n_words bigint, longest bigint, covered bigint")
+    return got.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "item_id": F.col("item_id").cast("bigint")}).filter(F.col("longest") >= least).distinct()

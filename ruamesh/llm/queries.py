@@ -28,12 +28,12 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     found = leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
-    return found.filter("longest >= 12").select("doc_id", "item_id").distinct()
+    return found.select("doc_id", "item_id").distinct()
 
 
 def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Items of which at least half stands in a document in runs of six words or more, in any order."""
-    found = leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), seed=6)
+    found = leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), seed=6, least=6)
     return found.filter("covered >= 0.5 * n_words").select("doc_id", "item_id", "n_words", "longest", "covered").distinct()
 
 

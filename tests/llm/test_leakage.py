@@ -54,3 +54,39 @@ def test_reordered_passages_are_tiled():
 def test_empty(spark):
     none, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert L.leaks(none, items).count() == 0
+
+
+def greedy(item, text, shortest):
+    """Greedy string tiling word by word."""
+    ui, ut, out = [False] * len(item), [False] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for t in range(len(text)):
+            for i in range(len(item)):
+                n = 0
+                while i + n < len(item) and t + n < len(text) and not ui[i + n] and not ut[t + n] and item[i + n] == text[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, t, i)
+        n, t, i = best
+        if n < shortest:
+            return out
+        ui[i : i + n], ut[t : t + n] = [True] * n, [True] * n
+        out.append((i, t, n))
+
+
+@pytest.mark.parametrize("most", [5, 50, 10**6])
+def test_tiles_equal_word_by_word_tiling(monkeypatch, most):
+    monkeypatch.setattr(L, "MAX_EQUAL", most)
+    rng = random.Random(most)
+    for _ in range(150):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, n))] for n in (25, 40))
+        assert L.tiles(a, b, 3) == greedy(a, b, 3)
+
+
+def test_a_shorter_passage_is_a_candidate_but_no_leak(spark):
+    text = [f"w{k}" for k in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(text[:11] + ["x"] + text[11:22])), (2, " ".join(text[3:15]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(text))], "item_id bigint, text string")
+    assert [(r["doc_id"], r["longest"]) for r in L.leaks(docs, items).collect()] == [(2, 12)]
+    assert {(r["doc_id"], r["longest"], r["covered"]) for r in L.leaks(docs, items, least=8).collect()} == {(1, 11, 22), (2, 12, 12)}
