@@ -2,9 +2,14 @@
 
 A text of more than ``split_chars`` characters is halved again and again; its pieces are encoded as rows of their own
 wherever Spark puts them, and neighbours are then merged level by level. At a join only the pre-tokens that end
-within ``LOOK`` characters of the left side's end are uncertain. From their start the text is scanned anew over a window that doubles until the new scan ends a
-pre-token exactly where the right side's scan ended one. The scan has no memory beyond its position, so from there
-on both sides agree for good: the result equals that of the whole text, whatever the text.
+within ``LOOK`` characters of the left side's end are uncertain. From their start the text is scanned anew over a
+window that doubles until the new scan ends a pre-token exactly where the right side's scan ended one. The scan has no
+memory beyond its position, so from there on both sides agree for good.
+
+A pre-token across the join may itself be long (text without any break). Its ids on both sides are known; only a
+window of ids around the join is encoded anew, and it doubles on both sides until its outermost ids agree with the
+ids beyond: two ids side by side stand in an encoding exactly if encoding their joint text gives these two, and a
+sequence in which all neighbours do is the encoding. So the result equals that of the whole text, whatever the text.
 
 Defined results: null and empty texts have an empty list; special-token strings are ordinary text; every row comes by
 itself, repeated ones too. Extra columns are ignored.
@@ -14,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,18 +35,26 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longest text, in characters, that is encoded in one go; first window at a join.
 SPLIT_CHARS, WINDOW = 4096, 64
+#: Ids on each side of a join inside one pre-token that are encoded anew at first.
+IDS = 8
 #: A pre-token is certain when this many characters follow it ("'re" needs two behind the apostrophe).
 LOOK = 3
 
 _SCAN = regex.compile(PATTERN)
 
 
-@functools.lru_cache(maxsize=4)
-def encoding(path: str) -> tiktoken.Encoding:
-    """The encoding of a rank file, loaded once in each Python worker."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+_BUILT: dict[str, tiktoken.Encoding] = {}
+
+
+def encoding(path: str, ranks: bytes | None = None) -> tiktoken.Encoding:
+    """The encoding of a rank file (or of its content), built once in each Python process."""
+    if path not in _BUILT:
+        if ranks is None:
+            with open(path, "rb") as f:
+                ranks = f.read()
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _BUILT[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return _BUILT[path]
 
 
 def encode_part(enc: tiktoken.Encoding, text: str) -> tuple[list[int], list[int], list[int]]:
@@ -55,6 +67,21 @@ def encode_part(enc: tiktoken.Encoding, text: str) -> tuple[list[int], list[int]
     return ids, ends, upto
 
 
+def join_ids(enc: tiktoken.Encoding, left: list[int], right: list[int], first: int = IDS) -> list[int]:
+    """Ids of one pre-token from those of its two parts, by a window around the join that grows until both sides agree."""
+    if not left or not right:
+        return left or right
+    text = enc.decode_single_token_bytes
+    size = first
+    while True:
+        a, b = max(0, len(left) - size), min(len(right), size)
+        mid = enc._encode_single_piece(b"".join(map(text, left[a:] + right[:b])))
+        stands = lambda x, y: enc._encode_single_piece(text(x) + text(y)) == [x, y]
+        if (a == 0 or stands(left[a - 1], mid[0])) and (b == len(right) or stands(mid[-1], right[b])):
+            return left[:a] + mid + right[b:]
+        size *= 2
+
+
 def merge(enc: tiktoken.Encoding, left: tuple, right: tuple, window: int = WINDOW) -> tuple:
     """(text, ids, ends, upto) of two neighbours as one."""
     (lt, li, le, lu), (rt, ri, re_, ru) = left, right
@@ -80,7 +107,9 @@ def merge(enc: tiktoken.Encoding, left: tuple, right: tuple, window: int = WINDO
         size *= 2
     ids, ends, upto = li[:ids_kept], le[:certain], lu[:certain]
     for a, b in new:
-        ids = ids + enc.encode_ordinary(text[a:b])
+        # Parts of a pre-token across the join that each side has encoded as a pre-token of its own.
+        own = a == 0 and certain < len(le) and le[certain] == len(lt) and b > len(tail) and b - len(tail) == re_[0]
+        ids = ids + (join_ids(enc, li[ids_kept : lu[certain]], ri[: ru[0]]) if own else enc.encode_ordinary(text[a:b]))
         ends = [*ends, keep + b]
         upto = [*upto, len(ids)]
     shift, base = len(ids) - ru[met], len(lt)
@@ -100,13 +129,15 @@ _NODE = "_rm_doc string, _rm_hash bigint, _rm_part bigint, text string, ids arra
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{FOLDER}/{VOCABULARY}", split_chars: int = SPLIT_CHARS) -> DataFrame:
-    """(key, ids) of every document."""
+    """(key, ids) of every document. The rank file is read on the driver and broadcast (some 1 MB)."""
+    with open(path, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     # The key goes as text: pandas would turn whole numbers beside a null into floats.
     base = docs.select(F.col(key).cast("bigint").cast("string").alias("_rm_doc"), F.col(text).alias("text"))
     size = F.coalesce(F.length("text"), F.lit(0))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = encoding(path, ranks.value)
         for pdf in batches:
             yield pd.DataFrame({"_rm_doc": pdf["_rm_doc"], "ids": [enc.encode_ordinary(t) if t else [] for t in pdf["text"]]})
 
@@ -116,13 +147,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
             yield pd.DataFrame(out, columns=["_rm_doc", "_rm_hash", "_rm_part", "text"])
 
     def encode_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = encoding(path, ranks.value)
         for pdf in batches:
             pdf["ids"], pdf["ends"], pdf["upto"] = zip(*(encode_part(enc, t) for t in pdf["text"])) if len(pdf) else ([], [], [])
             yield pdf
 
     def join_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        enc, rows = encoding(path), pdf.sort_values("_rm_part")
+        enc, rows = encoding(path, ranks.value), pdf.sort_values("_rm_part")
         node = None
         for t, i, e, u in zip(rows["text"], rows["ids"], rows["ends"], rows["upto"]):
             one = (t, list(i), list(e), list(u))

@@ -27,6 +27,39 @@ def test_long_runs_without_a_break():
         assert by_tree(text, 64)[1] == ENC.encode_ordinary(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="etaoinbcé日", min_size=1, max_size=300), st.integers(1, 20), st.integers(1, 4))
+def test_one_unbroken_run(text, most, first):
+    ids = [ENC.encode_ordinary(p) for p in T.halves(text, most)]
+    got = ids[0]
+    for more in ids[1:]:
+        got = T.join_ids(ENC, got, more, first)
+    assert by_tree(text, most)[1] == got == ENC.encode_ordinary(text)
+
+
+def test_a_million_letters_cost_hardly_more_than_their_length():
+    class Counted:
+        cost = 0
+
+        def __getattr__(self, name):
+            return getattr(ENC, name)
+
+        def _encode_single_piece(self, piece):
+            Counted.cost += len(piece)
+            return ENC._encode_single_piece(piece)
+
+        def encode_ordinary(self, text):
+            Counted.cost += len(text)
+            return ENC.encode_ordinary(text)
+
+    rng, enc = random.Random(8), Counted()
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20))
+    nodes = [(p, *T.encode_part(enc, p)) for p in T.halves(text, T.SPLIT_CHARS)]
+    while len(nodes) > 1:
+        nodes = [T.merge(enc, *nodes[k : k + 2]) for k in range(0, len(nodes), 2)]
+    assert nodes[0][1] == ENC.encode_ordinary(text) and Counted.cost < 1.5 * len(text)
+
+
 def test_operator(spark):
     rng = random.Random(4)
     long = " ".join(rng.choice(["rua", "don't", "1999", "ação", "\n\n", "<|endoftext|>"]) for _ in range(4000))
