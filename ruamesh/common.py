@@ -44,14 +44,17 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the checkpoint folder that all executors share.
 
-    The folder is the one of ``spark.checkpoint.dir``; only where the session names none (as in tests) a
-    temporary one is set.
+    The folder is the one of ``spark.checkpoint.dir``; only a local session (as in tests) that names none gets a
+    temporary one. On a cluster such a folder would be lost with its machine, so there it is an error.
     """
     spark = df.sparkSession
     ship(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ruamesh-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ruamesh-"))
     return df.checkpoint(eager=True)
 
 
@@ -71,21 +74,40 @@ def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
     return placed.join(F.broadcast(table_), "_rm_part").withColumn(name, F.col("_rm_row") + F.col("_rm_before")).drop("_rm_part", "_rm_row", "_rm_before")
 
 
+def weight(df: DataFrame) -> tuple[int, int]:
+    """Rows of a frame and about how many bytes they take."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()
+    return rows, size or 0
+
+
 def lookup(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Join ``facts`` to ``dim``, which has one row (or few) for each key, safely under skew.
+    """Join ``facts`` to ``dim``, which has one row (or few) for each key, safely under skew; inner or left.
 
     ``dim`` should be cheap to read again (checkpointed). Its rows and bytes are counted: within the bounds it is
-    broadcast. Otherwise the keys that hold more than ``HOT_SHARE`` of the facts (at most 1 / HOT_SHARE keys) are
-    joined by broadcasting only their rows, and the rest by a shuffle join, so no task gets a hot key's rows.
+    broadcast. Otherwise the facts are written once, and the keys that hold more than ``HOT_SHARE`` of them (at most
+    1 / HOT_SHARE keys) go apart: their rows of ``dim`` are broadcast when they are within the bounds too, else both
+    sides are salted, so no task gets a hot key's rows. The rest is joined by shuffle; rows with a null key meet nothing.
     """
-    rows, size = dim.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct(*dim.columns))))).first()
-    if rows <= max_rows and (size or 0) <= max_bytes:
+    rows, size = weight(dim)
+    if rows <= max_rows and size <= max_bytes:
         return facts.join(F.broadcast(dim), keys, how)
+    null = " OR ".join(f"`{k}` IS NULL" for k in keys)
+    facts = cut(facts)
+    whole = facts.filter(f"NOT ({null})")
     total = facts.count()
-    hot = cut(facts.groupBy(*keys).count().filter(F.col("count") > max(1000, total * HOT_SHARE)).drop("count"))
-    if hot.isEmpty():
-        return facts.join(dim, keys, how)
-    flagged = facts.join(F.broadcast(hot.withColumn("_rm_hot", F.lit(True))), keys, "left")
-    some = flagged.filter("_rm_hot").drop("_rm_hot").join(F.broadcast(dim.join(F.broadcast(hot), keys, "left_semi")), keys, how)
-    rest = flagged.filter("_rm_hot IS NULL").drop("_rm_hot").join(dim, keys, how)
-    return some.unionByName(rest)
+    counts = cut(whole.groupBy(*keys).count().filter(F.col("count") > max(1000, total * HOT_SHARE)))
+    hot, most = counts.drop("count"), counts.agg(F.max("count")).first()[0]
+    if most is None:
+        out = whole.join(dim, keys, how)
+    else:
+        flagged = whole.join(F.broadcast(hot.withColumn("_rm_hot", F.lit(True))), keys, "left")
+        some, few = flagged.filter("_rm_hot").drop("_rm_hot"), cut(dim.join(F.broadcast(hot), keys, "left_semi"))
+        rows, size = weight(few)
+        if rows <= max_rows and size <= max_bytes:
+            some = some.join(F.broadcast(few), keys, how)
+        else:
+            salts = int(most // max(1000, int(total * HOT_SHARE))) + 1
+            salted = few.withColumn("_rm_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            some = some.withColumn("_rm_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, [*keys, "_rm_salt"], how).drop("_rm_salt")
+        out = some.unionByName(flagged.filter("_rm_hot IS NULL").drop("_rm_hot").join(dim, keys, how))
+    return out.unionByName(facts.filter(null), allowMissingColumns=True) if how == "left" else out

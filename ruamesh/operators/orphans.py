@@ -1,10 +1,10 @@
 """References to records that do not exist: a Bloom filter of the parent keys, then an exact join of the rest.
 
 The filter is blocked: a key hashes to one 64-bit word and to ``BITS`` bits in it, so that building it is one
-map-side combined aggregation and probing it one broadcast join on the word, all in the JVM. It never has more than
-``MAX_WORDS`` words, whatever the number of keys; with more keys only more references go on to the exact join. What
-the filter rejects is surely an orphan. The others meet their parents exactly, by key and day, so that no key's rows gather in one
-task.
+map-side combined aggregation, all in the JVM. It has 16 bits a key, whatever their number. Its words travel as dense
+arrays, 8 bytes a word, and at most ``MAX_WORDS`` (64 MB) at once: more keys are parted by hash, each part with a
+filter of its own. What the filter rejects is surely an orphan. The others meet their parents exactly, by key and day,
+so that no key's rows gather in one task.
 
 Defined results: null references are no orphans; a reference without a time is an orphan when its key has no record
 at all; a record without a load time was always there; repeated rows come once; empty parents make every reference
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ruamesh.common import cut
 
-MAX_WORDS = 1 << 17
+MAX_WORDS = 1 << 23
+#: Keys to a word of 64 bits; words to an array.
+PER_WORD, CHUNK = 4, 1 << 10
 BITS = 5
 
 
@@ -37,11 +39,34 @@ def _bits(key: Column) -> Column:
     return out
 
 
-def bloom(keys: DataFrame, column: str, n: int) -> tuple[DataFrame, int]:
-    """(word, bits) of the filter over a column, and the number of words: 16 bits a key, within the bound."""
-    words = min(MAX_WORDS, 1 << max(4, (n // 4).bit_length()))
+def filter_words(n: int) -> int:
+    """Words that a filter of n keys has: a power of two."""
+    return 1 << max(4, (-(-n // PER_WORD) - 1).bit_length())
+
+
+def bloom(keys: DataFrame, column: str, words: int) -> DataFrame:
+    """(_rm_chunk, _rm_filter) of the filter over a column: every word, ``CHUNK`` to an array."""
     k = F.col(column).cast("bigint")
-    return keys.filter(k.isNotNull()).groupBy(_word(k, words).alias("_rm_word")).agg(F.bit_or(_bits(k)).alias("_rm_bits")), words
+    empty = keys.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    set_ = keys.filter(k.isNotNull()).select(_word(k, words).alias("w"), _bits(k).alias("b"))
+    each = set_.unionByName(empty).groupBy("w").agg(F.bit_or("b").alias("b"))
+    arrays = each.groupBy(F.floor(F.col("w") / CHUNK).alias("_rm_chunk")).agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("all"))  # CHUNK entries
+    return arrays.select("_rm_chunk", F.col("all.b").alias("_rm_filter"))
+
+
+def probe(rows: DataFrame, column: str, keys: DataFrame, key: str, n: int, max_words: int = MAX_WORDS) -> DataFrame:
+    """``rows`` with _rm_maybe: whether the key may be among ``keys`` (n of them); false is certain."""
+    parts = -(-filter_words(n) // max_words)
+    words = min(filter_words(n), max_words)
+    k, out = F.col(column).cast("bigint"), None
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(parts))
+    for p in range(parts):
+        mine, theirs = (rows, keys) if parts == 1 else (rows.filter(part(k) == p), keys.filter(part(F.col(key).cast("bigint")) == p))
+        word = _word(k, words)
+        hit = F.element_at("_rm_filter", (F.pmod(word, F.lit(CHUNK)) + 1).cast("int")).bitwiseAND(_bits(k)) == _bits(k)
+        one = mine.withColumn("_rm_chunk", F.floor(word / CHUNK)).join(F.broadcast(bloom(theirs, key, words)), "_rm_chunk").withColumn("_rm_maybe", hit).drop("_rm_chunk", "_rm_filter")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def orphans(refs: DataFrame, ref: str, key: str, at: str, parents: DataFrame, parent_key: str, loaded: str, deleted: str | None = None) -> DataFrame:
@@ -57,8 +82,7 @@ def orphans(refs: DataFrame, ref: str, key: str, at: str, parents: DataFrame, pa
     there = parents.select(F.col(parent_key).cast("bigint").alias("_rm_ref"), F.coalesce(F.col(loaded).cast("timestamp"), never).alias("_rm_from"), gone.alias("_rm_to")).filter("_rm_ref IS NOT NULL")
     there = there.groupBy("_rm_ref", "_rm_from").agg(F.max("_rm_to").alias("_rm_to")) if deleted else there.groupBy("_rm_ref").agg(F.min("_rm_from").alias("_rm_from"), F.max("_rm_to").alias("_rm_to"))
     there = cut(there)
-    words_df, words = bloom(there, "_rm_ref", there.count())
-    probed = cut(rows.withColumn("_rm_word", _word(F.col("_rm_ref"), words)).join(F.broadcast(words_df), "_rm_word", "left").withColumn("_rm_maybe", F.coalesce(F.col("_rm_bits").bitwiseAND(_bits(F.col("_rm_ref"))) == _bits(F.col("_rm_ref")), F.lit(False))).drop("_rm_word", "_rm_bits"))
+    probed = cut(probe(rows, "_rm_ref", there, "_rm_ref", there.count()))
     maybe = probed.filter("_rm_maybe").drop("_rm_maybe")
     # Time decides by running maxima: a record is there at t when the latest end among those loaded until t is later.
     # Keys are cut by day, so a hot key is many groups; what earlier days leave over comes from one row a key and day.

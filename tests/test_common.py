@@ -32,3 +32,35 @@ def test_dense_index(spark):
 
 def test_cut_keeps_rows_and_partitions_of_work(spark):
     assert common.cut(spark.range(10)).agg(F.sum("id")).first()[0] == 45
+
+
+def test_hot_key_on_both_sides_is_salted(spark):
+    facts = spark.range(6000).select((F.col("id") % 3).alias("k"), "id")
+    dim = common.cut(spark.range(300).select(F.lit(1).cast("bigint").alias("k"), F.col("id").alias("v")))
+    got = common.lookup(facts, dim, ["k"], max_rows=10)
+    assert got.count() == 2000 * 300 and got.distinct().count() == 2000 * 300
+
+
+def test_null_keys_are_kept_on_the_left(spark):
+    facts = spark.range(3000).select(F.when(F.col("id") > 900, F.col("id") % 2).alias("k"), "id")
+    dim = common.cut(spark.range(1).select(F.col("id").alias("k"), F.lit("x").alias("v")))
+    for how in ("inner", "left"):
+        got = common.lookup(facts, dim, ["k"], how, max_rows=0)
+        assert sorted(map(str, got.select("k", "id", "v").collect())) == sorted(map(str, facts.join(dim, ["k"], how).select("k", "id", "v").collect()))
+
+
+def test_no_machine_local_checkpoints_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        applicationId = spark.sparkContext.applicationId
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("C", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isEmpty": staticmethod(lambda: True)}))})
+
+    class Frame:
+        sparkSession = type("S", (), {"sparkContext": Context, "conf": type("F", (), {"get": staticmethod(lambda *a: None)})})
+
+    with pytest.raises(RuntimeError):
+        common.cut(Frame)

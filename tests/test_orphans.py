@@ -32,3 +32,19 @@ def test_empty_sides_and_repeats(spark):
     t = dt.datetime(2023, 5, 5)
     assert found(spark, [(1, 1, t), (1, 1, t)], []) == {(1, t)}
     assert found(spark, [], [(1, t, None)]) == set()
+
+
+def test_filters_beyond_one_broadcast(spark):
+    from ruamesh.operators import orphans as O
+
+    keys, refs = spark.range(20_000).selectExpr("id * 3 AS key"), spark.range(60_000).selectExpr("id AS ref")
+    one, many = (O.probe(refs, "ref", keys, "key", 20_000, most).filter("_rm_maybe").select("ref").collect() for most in (O.MAX_WORDS, 1024))
+    for got in (one, many):
+        got = {r["ref"] for r in got}
+        assert {k * 3 for k in range(20_000)} <= got and len(got) < 22_000
+
+
+def test_more_keys_get_more_words():
+    from ruamesh.operators.orphans import filter_words
+
+    assert [filter_words(n) for n in (0, 64, 65, 10**7)] == [16, 16, 32, 1 << 22]
