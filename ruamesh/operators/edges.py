@@ -10,6 +10,8 @@ from ruamesh.operators.units import decode_units
 
 #: Level of speeds against which unit switches are decoded, km/h.
 SPEED_LEVEL = 45.0
+#: Packed fields whose values may have a decimal comma.
+DECIMALS = ("maxspeed",)
 
 
 def polyline_length(points: str) -> F.Column:
@@ -27,7 +29,7 @@ def lengths(edges: DataFrame, sources: DataFrame, **how) -> DataFrame:
 
 def speeds(edges: DataFrame, sources: DataFrame, splits: DataFrame | None = None, **how) -> DataFrame:
     """(row_id, load_id, pos, val, num, unit, si) of gdf_edges.maxspeed."""
-    splits = learn_splits(edges, ["maxspeed"]) if splits is None else splits
+    splits = learn_splits(edges, ["maxspeed"], DECIMALS) if splits is None else splits
     vals = split_values(edges, "row_id", ["maxspeed"], keep=("load_id", "note", "source", "loaded_at"), splits=splits)
     vals = vals.withColumn("level", F.lit(SPEED_LEVEL)).withColumnRenamed("loaded_at", "at")
     return decode_units(vals, sources, "speed", **how).select("row_id", "load_id", "pos", "val", "num", "unit", "si")

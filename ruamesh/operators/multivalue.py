@@ -9,9 +9,12 @@ and ``11,1`` stays whole where it is frequent itself.
 
 All statistics are Spark aggregates over the whole column. Python sees distinct texts that hold a delimiter only.
 
+Arcs span up to ``INNER`` unquoted delimiters, and beyond that every number of delimiters that some value of the
+column is known to hold because it stands quoted and alone in a text: no other longer value could be more frequent
+than its parts. So the lattice is linear in the text.
+
 Defined results: null texts and texts of blanks give no value; an empty slot counts as a position but gives no row;
-repeated rows are kept under their own key; a text of any length is processed whole (arcs span at most
-``MAX_INNER`` unquoted delimiters, so the lattice is linear in the text). Extra columns are ignored.
+repeated rows are kept under their own key; a text of any length is processed whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from ruamesh.common import cut, lookup
 
 #: Characters that may part two values.
 DELIMITERS = ";|,\t/"
-#: Delimiters that one unquoted value may hold itself.
-MAX_INNER = 3
+#: Delimiters that an unquoted value may hold itself without being known from elsewhere.
+INNER = 16
 #: Probability that a value is followed by another, before the ways of writing are weighed.
 CONTINUE = 0.1
 #: Probability of an empty slot.
@@ -42,7 +45,9 @@ ALPHA = 1.0
 DECIMAL = 1e-3
 #: Log prior of each delimiter that a value never seen holds outside remarks; a bare slash (as in km/h) is free.
 SWALLOWED = math.log(1e-15)
-EM_ROUNDS = 3
+#: Expectation-maximisation ends when no field's expected number of values changes by more than this share, or after
+#: so many rounds.
+TOLERANCE, EM_ROUNDS = 1e-3, 12
 
 _OPEN, _CLOSE, _QUOTES = "[{", "]}", "'\""
 _REMARK = re.compile(r"\(.*?\)|@[^;|\t(]*")
@@ -75,7 +80,7 @@ def scan(text: str) -> tuple[list[str], list[str]]:
                 depth += (s[j] == "(") - (s[j] == ")")
                 j += 1
             if not depth:
-                i = j
+                i, at = j, False  # a remark behind @ ends with its parentheses
                 continue
         elif c == "@":
             at = True
@@ -101,20 +106,24 @@ def _quoted(piece: str) -> bool:
     return len(p) >= 2 and p[0] in _QUOTES and p[-1] == p[0]
 
 
-def lattice(pieces: list[str], forms: list[str]) -> list[tuple[int, int, str]]:
-    """Arcs (from, to, value): the pieces from..to-1 as one value. A quoted piece is an arc of its own."""
+def lattice(pieces: list[str], forms: list[str], longer: tuple[int, ...] = ()) -> list[tuple[int, int, str]]:
+    """Arcs (from, to, value): the pieces from..to-1 as one value. A quoted piece is an arc of its own.
+
+    ``longer``: numbers of delimiters beyond ``INNER`` that a value may hold.
+    """
     arcs, solid = [], [_quoted(p) for p in pieces]
+    most = max(longer, default=INNER)
     for i in range(len(pieces)):
-        whole = pieces[i]
-        arcs.append((i, i + 1, bare(whole)))
-        if solid[i] or not whole.strip(_BLANK):
+        whole = [pieces[i]]
+        arcs.append((i, i + 1, bare(pieces[i])))
+        if solid[i] or not pieces[i].strip(_BLANK):
             continue
-        for j in range(i + 1, min(len(pieces), i + 1 + MAX_INNER)):
+        for j in range(i + 1, min(len(pieces), i + 1 + most)):
             if solid[j] or not pieces[j].strip(_BLANK):
                 break
-            f = forms[j - 1]
-            whole += f.strip("_") + pieces[j]
-            arcs.append((i, j + 1, bare(whole)))
+            whole += [forms[j - 1].strip("_"), pieces[j]]
+            if j - i <= INNER or j - i in longer:
+                arcs.append((i, j + 1, bare("".join(whole))))
     return arcs
 
 
@@ -128,12 +137,6 @@ def _base(value: str, decimals: bool) -> float:
     return PER_CHAR * max(1, len(value)) + SWALLOWED * inside
 
 
-def _log_theta(value: str, count: float | None, total: float, decimals: bool) -> float:
-    if not value:
-        return math.log(EMPTY)
-    return math.log((count or 0.0) + ALPHA * math.exp(max(-600.0, _base(value, decimals)))) - math.log(total + ALPHA)
-
-
 def _log_add(a: float, b: float) -> float:
     if a == -math.inf:
         return b
@@ -141,6 +144,12 @@ def _log_add(a: float, b: float) -> float:
     return m + math.log1p(math.exp(min(a, b) - m))
 
 
+def _log_theta(value: str, count: float | None, total: float, decimals: bool) -> float:
+    if not value:
+        return math.log(EMPTY)
+    return _log_add(math.log(count) if count else -math.inf, math.log(ALPHA) + _base(value, decimals)) - math.log(total + ALPHA)
+
+
 def _score(arcs: list, forms: list[str], phi: dict[str, float]) -> list[tuple[int, int, str, float]]:
     """Arcs with their log probability, the delimiter before them included."""
     step = math.log(CONTINUE)
@@ -174,24 +183,23 @@ def viterbi(arcs: list, forms: list[str], phi: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-_ARCS = "field string, text string, n bigint, i int, j int, value string"
-_PATHS = "field string, text string, vals array<string>"
-
-
-def _arcs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = [(f, t, n, i, j, v) for f, t, n in zip(pdf.field, pdf.text, pdf.n) for i, j, v in lattice(*scan(t))]
-        yield pd.DataFrame(out, columns=["field", "text", "n", "i", "j", "value"])
+_ARCS = "field string, id string, n bigint, i int, j int, form string, value string"
+_PATHS = "field string, id string, vals array<string>"
 
 
 def _weigh(pdf: pd.DataFrame, decimals: dict[str, bool], totals: dict[str, float]) -> Iterator[tuple]:
-    for field, text, n, arcs in zip(pdf.field, pdf.text, pdf.n, pdf.arcs):
-        forms, scored = scan(text)[1], []
+    """(field, id, n, forms, arcs with their log probability) of each text."""
+    for field, key, n, arcs in zip(pdf.field, pdf.id, pdf.n, pdf.arcs):
+        forms = [""] * (max(a["j"] for a in arcs) - 1)
+        for a in arcs:
+            if a["i"]:
+                forms[a["i"] - 1] = a["form"]
+        scored = []
         for a in arcs:
             # A text is no evidence for its own split: what it may have counted itself is taken off.
             c = max(0.0, (a["c"] or 0.0) - n) if len(arcs) > len(forms) + 1 else a["c"]
             scored.append((a["i"], a["j"], a["value"], _log_theta(a["value"], c, totals.get(field, 0.0), decimals.get(field, False))))
-        yield field, text, n, forms, scored
+        yield field, key, n, forms, scored
 
 
 def distinct_texts(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -200,27 +208,55 @@ def distinct_texts(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").filter("text IS NOT NULL").groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
-def learn_splits(df: DataFrame, fields: list[str], decimals: tuple[str, ...] = ("maxspeed",), rounds: int = EM_ROUNDS) -> DataFrame:
+def _longer(odd: DataFrame) -> dict[str, tuple[int, ...]]:
+    """By field, the numbers of delimiters beyond ``INNER`` that texts in one pair of quotes hold: a few numbers."""
+    text = F.trim("text")
+    n = F.regexp_count(text, F.lit(r"[;|,\t/]"))
+    quoted = odd.filter(text.rlike(r"""(?s)^(['"]).*\1$""")).select("field", n.alias("k")).filter(F.col("k") > INNER).distinct()
+    out: dict[str, list[int]] = {}
+    for r in quoted.collect():
+        out.setdefault(r["field"], []).append(r["k"])
+    return {f: tuple(sorted(ks)) for f, ks in out.items()}
+
+
+def learn_splits(df: DataFrame, fields: list[str], decimals: tuple[str, ...] = (), rounds: int = EM_ROUNDS) -> DataFrame:
     """(field, text, vals) for every distinct text that holds a delimiter, quote or bracket; checkpointed.
 
     ``decimals``: the fields whose values may have a decimal comma.
     """
     may = {f: f in decimals for f in fields}
-    texts = distinct_texts(df, fields)
-    odd = F.col("text").rlike(r"""[;|,\t/\[\]{}'"]""")
-    plain = texts.filter(~odd).select("field", F.trim("text").alias("value"), F.col("n").cast("double").alias("c"))
-    arcs = cut(texts.filter(odd).repartition(F.hash("field", "text")).mapInPandas(_arcs, _ARCS))
+    # Texts travel once; what is learned from them goes by their hash.
+    texts = cut(distinct_texts(df, fields).withColumn("id", F.md5("text")))
+    is_odd = F.col("text").rlike(r"""[;|,\t/\[\]{}'"]""")
+    plain = texts.filter(~is_odd).select("field", F.trim("text").alias("value"), F.col("n").cast("double").alias("c"))
+    odd = texts.filter(is_odd)
+    longer = _longer(odd)
+
+    def all_arcs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for f, key, t, n in zip(pdf.field, pdf.id, pdf.text, pdf.n):
+                pieces, forms = scan(t)
+                out += [(f, key, n, i, j, forms[i - 1] if i else "", v) for i, j, v in lattice(pieces, forms, longer.get(f, ()))]
+            yield pd.DataFrame(out, columns=["field", "id", "n", "i", "j", "form", "value"])
+
+    arcs = cut(odd.repartition("field", "id").mapInPandas(all_arcs, _ARCS))
     # Texts with one path only count as they are; the others start from the values that these show.
-    width = arcs.groupBy("field", "text").agg(F.count(F.lit(1)).alias("w"), F.max("j").alias("m"))
-    sure = cut(arcs.join(width.filter("w = m"), ["field", "text"]).filter("value <> ''").select("field", "value", F.col("n").cast("double").alias("c")).unionByName(plain).groupBy("field", "value").agg(F.sum("c").alias("c")))
-    counts, phi = sure, {}
-    open_arcs = arcs.join(width.filter("w > m").select("field", "text"), ["field", "text"])
+    width = cut(arcs.groupBy("field", "id").agg((F.count(F.lit(1)) > F.max("j")).alias("open")))
+    one_path = arcs.join(width.filter("NOT open"), ["field", "id"], "left_semi").filter("value <> ''")
+    sure = cut(one_path.select("field", "value", F.col("n").cast("double").alias("c")).unionByName(plain).groupBy("field", "value").agg(F.sum("c").alias("c")))
+    counts, phi, before = sure, {}, {}
+    open_arcs = cut(arcs.join(width.filter("open"), ["field", "id"], "left_semi"))
 
     def with_counts(which: DataFrame) -> DataFrame:
-        return which.join(counts, ["field", "value"], "left").groupBy("field", "text", "n").agg(F.array_sort(F.collect_list(F.struct("i", "j", "value", "c"))).alias("arcs"))
+        known = lookup(which, counts, ["field", "value"], "left")
+        return known.groupBy("field", "id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "j", "form", "value", "c"))).alias("arcs"))
+
+    def by_field(df: DataFrame) -> dict[str, float]:
+        return {r["field"]: r["t"] for r in df.groupBy("field").agg(F.sum("c").alias("t")).collect()}  # one row a field
 
     for _ in range(rounds):
-        totals = {r["field"]: r["t"] for r in counts.groupBy("field").agg(F.sum("c").alias("t")).collect()}  # one row a field
+        totals = by_field(counts)
 
         def expect(batches: Iterator[pd.DataFrame], totals: dict = totals, phi: dict = phi) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -239,17 +275,22 @@ def learn_splits(df: DataFrame, fields: list[str], decimals: tuple[str, ...] = (
             forms.setdefault(r["field"], {})[r["value"]] = r["c"]
         phi = {f: {k: math.log((c + 0.5) / (sum(d.values()) + 10)) for k, c in d.items()} for f, d in forms.items()}
         counts = cut(sure.unionByName(soft.filter("kind = 'v'").select("field", "value", "c")).groupBy("field", "value").agg(F.sum("c").alias("c")))
-    totals = {r["field"]: r["t"] for r in counts.groupBy("field").agg(F.sum("c").alias("t")).collect()}
+        now = {f: sum(d.values()) for f, d in forms.items()}
+        if all(abs(now[f] - before.get(f, 0.0)) <= TOLERANCE * now[f] for f in now):
+            break
+        before = now
+    totals = by_field(counts)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(field, text, viterbi(scored, forms, phi.get(field, {}))) for field, text, _, forms, scored in _weigh(pdf, may, totals)]
-            yield pd.DataFrame(out, columns=["field", "text", "vals"])
+            out = [(field, key, viterbi(scored, forms, phi.get(field, {}))) for field, key, _, forms, scored in _weigh(pdf, may, totals)]
+            yield pd.DataFrame(out, columns=["field", "id", "vals"])
 
-    return cut(with_counts(arcs).mapInPandas(decode, _PATHS))
+    paths = with_counts(arcs).mapInPandas(decode, _PATHS)
+    return cut(odd.join(paths, ["field", "id"]).select("field", "text", "vals"))
 
 
-def split_values(df: DataFrame, key: str, fields: list[str], decimals: tuple[str, ...] = ("maxspeed",), multi_only: bool = False, keep: tuple[str, ...] = (), splits: DataFrame | None = None) -> DataFrame:
+def split_values(df: DataFrame, key: str, fields: list[str], decimals: tuple[str, ...] = (), multi_only: bool = False, keep: tuple[str, ...] = (), splits: DataFrame | None = None) -> DataFrame:
     """(key, *keep, field, pos, val): one row for each value, positions from 1.
 
     ``multi_only``: only texts with two values or more. ``keep``: further columns to carry along.

@@ -63,13 +63,13 @@ def p2_values(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     edges = table(spark, sf, "gdf_edges").select("row_id", *PACKED)
-    return split_values(edges, "row_id", PACKED, multi_only=True).distinct()
+    return split_values(edges, "row_id", PACKED, E.DECIMALS, multi_only=True).distinct()
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     edges = table(spark, sf, "gdf_edges").select("row_id", "load_id", "lanes", "maxspeed", "note", "source", "loaded_at")
     fontes = table(spark, sf, "fontes")
-    splits = learn_splits(edges, ["lanes", "maxspeed"])
+    splits = learn_splits(edges, ["lanes", "maxspeed"], E.DECIMALS)
     odd = splits.select("field", "text", "vals")
     texts = distinct_texts(edges, ["lanes", "maxspeed"]).join(odd, ["field", "text"], "left").withColumn("vals", F.coalesce("vals", F.array(F.trim("text"))))
     numeric = F.when(F.col("field") == "lanes", F.exists("vals", lambda v: number(v).isNotNull())).otherwise(F.exists("vals", lambda v: number(v, "speed").isNotNull()))

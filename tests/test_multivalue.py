@@ -17,6 +17,8 @@ def test_scan_keeps_quotes_and_remarks_whole():
     assert scan("['a, b', 'c']")[0] == ["'a, b'", " 'c'"]
     assert scan("{1 (ida, pico);2}")[0] == ["1 (ida, pico)", "2"]
     assert scan("50 @ (22:00-05:00);60")[0] == ["50 @ (22:00-05:00)", "60"]
+    assert scan("43 @ (22:00-05:00) / 19")[0] == ["43 @ (22:00-05:00) ", " 19"]
+    assert scan("50 @ 22:00-05:00, seg/ter; 60")[0] == ["50 @ 22:00-05:00, seg/ter", " 60"]
     assert scan("")[0] == [""]
     assert bare(" '60' ") == "60"
 
@@ -69,3 +71,17 @@ def test_very_long_text(spark):
     text = ";".join(["30", "40"] * 3000)
     got = values(spark, ["30", "40"] * 10 + [text])
     assert len(got[20]) == 6000 and got[20][-1] == (6000, "40")
+
+
+def test_a_frequent_value_may_hold_many_delimiters(spark):
+    many, more = "a/b/c/d/e/f/g", "/".join("pqrstuvwxyzabcdefghij")
+    texts = ["a", "b"] + [f"'{many}'", f"'{more}'"] * 40 + [f"a;{many}", f"{more};b", "a/b"]
+    got = values(spark, texts, field="kind")
+    assert [v for _, v in got[len(texts) - 3]] == ["a", many] and [v for _, v in got[len(texts) - 2]] == [more, "b"]
+    assert [v for _, v in got[len(texts) - 1]] == ["a", "b"]
+
+
+def test_long_unseen_values_differ_by_length(spark):
+    from ruamesh.operators.multivalue import _log_theta
+
+    assert _log_theta("x" * 400, None, 10.0, False) < _log_theta("x" * 300, None, 10.0, False) < _log_theta("x" * 200, 0.0, 10.0, False)
