@@ -219,14 +219,14 @@ def _longer(odd: DataFrame) -> dict[str, tuple[int, ...]]:
     return {f: tuple(sorted(ks)) for f, ks in out.items()}
 
 
-def learn_splits(df: DataFrame, fields: list[str], decimals: tuple[str, ...] = (), rounds: int = EM_ROUNDS) -> DataFrame:
+def learn_splits(df: DataFrame, fields: list[str], decimals: tuple[str, ...] = (), rounds: int = EM_ROUNDS, texts: DataFrame | None = None) -> DataFrame:
     """(field, text, vals) for every distinct text that holds a delimiter, quote or bracket; checkpointed.
 
-    ``decimals``: the fields whose values may have a decimal comma.
+    ``decimals``: the fields whose values may have a decimal comma. ``texts``: ``distinct_texts`` if known already.
     """
     may = {f: f in decimals for f in fields}
     # Texts travel once; what is learned from them goes by their hash.
-    texts = cut(distinct_texts(df, fields).withColumn("id", F.md5("text")))
+    texts = cut((distinct_texts(df, fields) if texts is None else texts).withColumn("id", F.md5("text")))
     is_odd = F.col("text").rlike(r"""[;|,\t/\[\]{}'"]""")
     plain = texts.filter(~is_odd).select("field", F.trim("text").alias("value"), F.col("n").cast("double").alias("c"))
     odd = texts.filter(is_odd)

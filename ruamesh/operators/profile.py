@@ -1,8 +1,13 @@
 """Column profile: character-class masks, null rates, ranges and changes between loads.
 
 Every text is generalised to a mask (digit runs to 9, letter runs to a). Masks whose share of the non-null texts
-reaches ``DOMINANT`` are the column's patterns; the rest are rare. The exact number grammar is then asked of each
-distinct value, whatever its mask, so a frequent mask that holds no number (such as the empty one) is reported too.
+reaches ``DOMINANT`` are the column's patterns; the rest are rare.
+
+For violations the masks are a little finer: letter runs that stand in the writing of a unit are kept. Nothing else in
+a value can decide whether it is a number, so a value is well-formed exactly if its mask, read as a value, is. Masks
+are mined from each distinct value; the grammar is asked once for each mask, and a text violates when no mask of its
+values passes. A dominant mask that passes is a pattern of the column; a dominant one that does not (such as that of
+the empty text) is reported like the rare ones.
 Loads are compared by null share, mean, and the Jensen-Shannon divergence of their mask distribution from that of
 all loads.
 
@@ -16,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruamesh.common import cut, lookup
+from ruamesh.functions.units import number
 
 DOMINANT = 0.01
 #: More than this times the median null share, and more than this share off the median mean, is a finding.
@@ -27,6 +33,21 @@ def mask(value: str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\d+", "9"), r"\p{L}+", "a"), r"\s+", " ")
 
 
+#: Letter runs that the writing of a unit is made of, by kind.
+UNIT_RUNS = {
+    "speed": "km h hr kmh kph quilometros quilômetros por hora kilometers kilometres per hour m s mps metros segundo meters metres second mph mi milhas miles kn kt kts knot knots no nos nó nós",
+    "length": "km quilometro quilômetro quilometros quilômetros kilometer kilometre kilometers kilometres kilómetro kilómetros cm centimetro centímetro centimetros centímetros centimeter centimetre centimeters centimetres ft feet foot pe pé pes pés yd yds yard yards jarda jardas mi mile miles milha milhas m mt mts metro metros meter meters metre metres",
+}
+
+
+def value_mask(value: str, kind: str | None = None) -> Column:
+    """Digit runs to 9 and letter runs to a, but for those of the units of ``kind``; in lower case, blanks as they are."""
+    lower = F.regexp_replace(F.lower(value), r"\d+", "9")
+    if kind is None:
+        return F.regexp_replace(lower, r"\p{L}+", "a")
+    return F.regexp_replace(lower, rf"(?<!\p{{L}})(?!(?:{'|'.join(UNIT_RUNS[kind].split())})(?!\p{{L}}))\p{{L}}+", "a")
+
+
 def mask_counts(df: DataFrame, column: str, load: str = "load_id") -> DataFrame:
     """(load, mask, n, rare): how often each mask occurs in each load; nulls left out."""
     texts = df.select(F.col(load).alias("load"), F.col(column).cast("string").alias("v")).filter("v IS NOT NULL").groupBy("load", "v").count()
@@ -56,34 +77,49 @@ def load_findings(loads: DataFrame) -> DataFrame:
     return nulls.unionByName(shift)
 
 
-def rare_mask_texts(texts: DataFrame) -> DataFrame:
-    """(text) of those that violate the column's patterns, from (text, n, well_formed) by distinct text.
+def value_masks(texts: DataFrame, kinds: dict[str, str | None]) -> DataFrame:
+    """(field, mask, n, pattern, passes) of the values of (field, text, n, vals): the grammar's answer for each mask."""
+    masked = _masked(texts, kinds).groupBy("field", "mask").agg(F.sum("n").alias("n"))
+    total = masked.groupBy("field").agg(F.sum("n").alias("total"))  # one row a field
+    passes = F.lit(False)
+    for field, kind in kinds.items():
+        passes = F.when(F.col("field") == field, number("mask", kind).isNotNull()).otherwise(passes)
+    out = masked.join(F.broadcast(total), "field").withColumn("passes", passes)
+    return out.select("field", "mask", "n", ((F.col("n") >= DOMINANT * F.col("total")) & F.col("passes")).alias("pattern"), "passes")
+
 
-    A mask is a pattern of the column when it is dominant and all its texts are well-formed. The texts of all other
-    masks are candidates, and the exact check decides: those that are not well-formed come out. As a pattern holds no
-    ill-formed text, the result is that of the exact check alone.
+def _masked(texts: DataFrame, kinds: dict[str, str | None]) -> DataFrame:
+    one = F.lit(None).cast("string")
+    for field, kind in kinds.items():
+        one = F.when(F.col("field") == field, value_mask("val", kind)).otherwise(one)
+    return texts.withColumn("val", F.explode("vals")).withColumn("mask", one)
+
+
+def violations(texts: DataFrame, kinds: dict[str, str | None]) -> DataFrame:
+    """``texts`` (field, text, n, vals), one row each, with bad: no value of the text has a mask that passes.
+
+    ``kinds``: the kind of unit that the numbers of each field may have, or None.
     """
-    masked = texts.withColumn("mask", mask("text"))
-    total = masked.agg(F.sum("n").alias("total"))
-    masks = masked.groupBy("mask").agg(F.sum("n").alias("mn"), F.min("well_formed").alias("clean"))
-    patterns = masks.crossJoin(F.broadcast(total)).filter((F.col("mn") >= DOMINANT * F.col("total")) & F.col("clean")).select("mask")  # one row of total; at most 1 / DOMINANT patterns
-    return masked.join(F.broadcast(patterns), "mask", "left_anti").filter(~F.col("well_formed")).select("text")
+    masks = cut(value_masks(texts, kinds))
+    good = lookup(_masked(texts, kinds).select("field", "text", "mask"), masks.filter("passes").select("field", "mask"), ["field", "mask"]).select("field", "text").distinct()
+    return texts.join(good.withColumn("good", F.lit(True)), ["field", "text"], "left").withColumn("bad", F.col("good").isNull()).drop("good")
 
 
-def number_findings(rows: DataFrame, violations: DataFrame, values: DataFrame, low: float, high: float, whole: bool = False) -> DataFrame:
-    """(load_id, row_id, finding) of a text column.
+def mark(text: Column, bad: Column, nums: Column, low: float, high: float, whole: bool = False) -> Column:
+    """(gone, finding, first) of a row of a text column: null or not, pattern or range, and the first value.
 
-    ``rows``: (row_id, load_id, text), all rows. ``violations``: (text) of ``rare_mask_texts``. ``values``: (row_id,
-    pos, num) of each value; num is null where it is no number.
+    ``bad``: whether the text is a violation, null for no. ``nums``: the numbers of its values, null where one is none.
     """
-    out = (F.col("num") < low) | (F.col("num") > high) | (F.col("num") != F.floor("num") if whole else F.lit(False))
-    per = values.groupBy("row_id").agg(F.max(F.coalesce(out, F.lit(False))).alias("out"), F.min(F.struct("pos", "num"))["num"].alias("first_num"))
-    marked = lookup(rows, cut(violations.withColumn("bad", F.lit(True))), ["text"], "left")
-    joined = marked.join(per, "row_id", "left").select("row_id", "load_id", F.col("text").isNull().alias("gone"), F.when(F.col("bad"), F.lit("pattern")).when(F.col("out"), F.lit("range")).alias("finding"), "first_num")
-    joined = cut(joined)  # read for the loads and for the findings
-    loads = joined.groupBy("load_id").agg(F.avg(F.col("gone").cast("double")).alias("share"), F.avg(F.when(F.col("finding").isNull() & ~F.col("gone"), F.col("first_num"))).alias("mean"))
-    by_load = load_findings(loads).select("load_id", F.lit(0).cast("bigint").alias("row_id"), "finding")
-    return joined.filter("finding IS NOT NULL").select("load_id", "row_id", "finding").unionByName(by_load)
+    out = F.exists(nums, lambda x: (x < low) | (x > high) | ((x != F.floor(x)) if whole else F.lit(False)))
+    finding = F.when(text.isNotNull() & F.coalesce(bad, F.lit(False)), F.lit("pattern")).when(out, F.lit("range"))
+    return F.struct(text.isNull().alias("gone"), finding.alias("finding"), F.get(nums, F.lit(0)).alias("first"))
+
+
+def number_findings(rows: DataFrame) -> DataFrame:
+    """(load_id, row_id, finding) from (row_id, load_id, mark), all rows; checkpointed, as they are read twice."""
+    share, mean = F.avg(F.col("mark.gone").cast("double")).alias("share"), F.avg(F.when(F.col("mark.finding").isNull() & ~F.col("mark.gone"), F.col("mark.first"))).alias("mean")
+    by_load = load_findings(rows.groupBy("load_id").agg(share, mean)).select("load_id", F.lit(0).cast("bigint").alias("row_id"), "finding")
+    return rows.filter("mark.finding IS NOT NULL").select("load_id", "row_id", F.col("mark.finding").alias("finding")).unionByName(by_load)
 
 
 def plain_findings(rows: DataFrame, low: float, high: float) -> DataFrame:

@@ -4,13 +4,13 @@ The hidden state of a device (a source) on a day is the unit it records in. What
 
 * the statement of the source, if it has one for that day (prose with dates, such as "in km until 30/06/2023");
 * the mean log likelihood of the day's bare values, taken as jumps of log(value) against a smooth underlying level
-  (for lengths the length of the geometry, for speeds a constant), with a share of outliers so that no day weighs
-  more than ``DATA_WEIGHT``.
+  (for lengths the length of the geometry, for speeds the median of its class of road), with a share of outliers so
+  that no day weighs more than ``DATA_WEIGHT``.
 
 Days are aggregated in Spark, map-side; each device's days (a few hundred rows, however many values there are)
 are decoded in one small group. With the default ``statement_weight`` a statement decides, as the table's contract
-wants; with 0 the switch days come from the data alone (tested). A unit in the value's own text, then one in the
-row's remark, stand before the decoded state.
+wants; with 0 the switch days come from the data alone (``switches``). A unit in the value's own text, then one in
+the row's remark, stand before the decoded state.
 
 Defined results: null texts, and texts with no number, give no row; an unknown or null source has the common unit
 unless its values say otherwise, at the weight of a statement for the common unit; a null time falls on the
@@ -30,8 +30,8 @@ from ruamesh.common import cut, lookup
 from ruamesh.functions.units import FACTORS, WORDS, factor, number, own_unit, stated_unit
 
 STATEMENT_WEIGHT, DATA_WEIGHT, STAY = 100.0, 8.0, 0.98
-#: Standard deviation of log(value * factor / level), and the level where a kind has a constant one.
-SPREAD = {"length": 0.05, "speed": 0.5}
+#: Standard deviation of log(value * factor / level).
+SPREAD = {"length": 0.05, "speed": 0.3}
 OUTLIER = math.exp(-DATA_WEIGHT)
 
 _DATE = r"(\d{2})/(\d{2})/(\d{4})"
@@ -84,17 +84,33 @@ def _decode(kind: str, common: str, statement_weight: float):
     return decode
 
 
+def likelihoods(num: Column, level: Column, kind: str) -> list[Column]:
+    """Log likelihood of a bare value under each unit of its kind."""
+    return [_gauss(F.try_divide(F.abs(num) * f, level), kind) for f in FACTORS[kind].values()]
+
+
+def unit_states(days: DataFrame, sources: DataFrame, kind: str, statement_weight: float = STATEMENT_WEIGHT) -> DataFrame:
+    """(source, day, decoded): the unit of each source on each day, from (source, day, ll0, ll1, ...); checkpointed."""
+    common, lls = next(u for u, f in FACTORS[kind].items() if f == 1.0), [f"ll{k}" for k in range(len(FACTORS[kind]))]
+    said = statements(sources, kind)
+    on = (days.source == said.source) & F.coalesce(days.day >= said["first"], F.lit(True)) & F.coalesce(days.day <= said["last"], F.lit(True))
+    seen = days.join(said, on, "left").groupBy(days.source, days.day).agg(*[F.first(c).alias(c) for c in lls], F.sort_array(F.collect_set("unit")).alias("said"))
+    return cut(seen.groupBy("source").applyInPandas(_decode(kind, common, statement_weight), "source string, day date, decoded string"))
+
+
+def switches(states: DataFrame) -> DataFrame:
+    """(source, unit, first, last): the runs of days of one unit. A source has few days, however many values."""
+    runs = lambda pdf: pd.DataFrame([(g["source"].iloc[0], g["decoded"].iloc[0], g["day"].iloc[0], g["day"].iloc[-1]) for pdf in [pdf.sort_values("day")] for _, g in pdf.groupby((pdf["decoded"] != pdf["decoded"].shift()).cumsum())], columns=["source", "unit", "first", "last"])
+    return states.groupBy("source").applyInPandas(runs, "source string, unit string, first date, last date")
+
+
 def decode_units(values: DataFrame, sources: DataFrame, kind: str, statement_weight: float = STATEMENT_WEIGHT, numbers_only: bool = True) -> DataFrame:
     """Units of ``values``: (key, val, note, source, at, level) gain num, unit and si.
 
     Values without a number are left out, or with ``numbers_only=False`` keep null num and si. ``level`` is the underlying level in the common unit, or null. ``si`` is the value in metres or km/h.
     """
-    common = next(u for u, f in FACTORS[kind].items() if f == 1.0)
     base = values.withColumn("num", number("val", kind)).filter(F.col("num").isNotNull() if numbers_only else F.lit(True)).withColumn("own", F.coalesce(own_unit("val", kind), stated_unit("note", kind))).withColumn("source", F.coalesce("source", F.lit(""))).withColumn("day", F.coalesce(F.to_date("at"), F.lit("9999-12-31").cast("date")))
-    lls = [F.avg(F.when(F.col("own").isNull(), _gauss(F.abs("num") * f / F.col("level"), kind))).alias(f"ll{k}") for k, f in enumerate(FACTORS[kind].values())]
-    days = base.groupBy("source", "day").agg(*lls)
-    said = statements(sources, kind)
-    seen = days.join(said, (days.source == said.source) & (F.coalesce(days.day >= said["first"], F.lit(True))) & F.coalesce(days.day <= said["last"], F.lit(True)), "left").groupBy(days.source, days.day).agg(*[F.first(f"ll{k}").alias(f"ll{k}") for k in range(len(lls))], F.sort_array(F.collect_set("unit")).alias("said"))
-    states = cut(seen.groupBy("source").applyInPandas(_decode(kind, common, statement_weight), "source string, day date, decoded string"))
+    lls = [F.avg(F.when(F.col("own").isNull(), ll)).alias(f"ll{k}") for k, ll in enumerate(likelihoods(F.col("num"), F.col("level"), kind))]
+    states = unit_states(base.groupBy("source", "day").agg(*lls), sources, kind, statement_weight)
     out = lookup(base, states, ["source", "day"])
     return out.withColumn("unit", F.coalesce("own", "decoded")).withColumn("si", F.col("num") * factor("unit", kind))

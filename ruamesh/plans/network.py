@@ -378,7 +378,8 @@ def travel_times(spark: SparkSession, sf: str) -> DataFrame:
 
     The SQL knows bare numbers taken as km/h only, so it agrees on those rows alone (see the README).
     """
-    speed = E.speeds(_edges(spark, sf).select("row_id", "load_id", "maxspeed", "note", "source", "loaded_at"), table(spark, sf, "fontes"))
+    edges = _edges(spark, sf).select("row_id", "highway", "maxspeed", "note", "source", "loaded_at", "geometry")
+    speed = E.speeds(E.measured(edges, table(spark, sf, "fontes")))
     first = speed.filter("si > 0").groupBy("row_id").agg(F.min_by("si", "pos").alias("kmh"))
     e = _characterised(spark, sf).join(first, "row_id")
     return e.select("row_id", F.round(M.travel_seconds(F.col("length_mm") / 1000, F.col("kmh")), 6).alias("seconds"))

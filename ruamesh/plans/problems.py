@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruamesh.common import cut, table
+from ruamesh.common import cut, lookup, table
 from ruamesh.functions.units import number
 from ruamesh.operators import edges as E
 from ruamesh.operators import profile as P
-from ruamesh.operators.multivalue import distinct_texts, learn_splits, split_values
+from ruamesh.operators.multivalue import learn_splits, split_values
 from ruamesh.operators.orphans import orphans
 from ruamesh.operators.spatial import near_pairs, nearest, regions_of
+from ruamesh.operators.units import switches
 
 NEAR_M = 40.0
 
@@ -44,21 +45,33 @@ def p1_bairros(spark: SparkSession, sf: str) -> DataFrame:
 PACKED = ["highway", "lanes", "maxspeed"]
 
 
+MEASURED = ["row_id", "load_id", "highway", "length", "maxspeed", "note", "source", "loaded_at", "geometry"]
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "gdf_edges").select("row_id", "length", "maxspeed", "note", "source", "loaded_at", "load_id", "geometry")
-    fontes = table(spark, sf, "fontes")
-    length = E.lengths(edges, fontes).filter("unit <> 'm'").select("row_id", F.lit("length").alias("field"))
-    speed = E.speeds(edges, fontes).filter("unit <> 'km/h'").select("row_id", F.lit("maxspeed").alias("field"))
-    return length.unionByName(speed).distinct()
+    rows = E.measured(table(spark, sf, "gdf_edges").select(MEASURED), table(spark, sf, "fontes"))
+    length = F.when(F.col("length.num").isNotNull() & (F.col("length.unit") != "m"), F.lit("length"))
+    speed = F.when(F.exists("speeds", lambda s: s["num"].isNotNull() & (s["unit"] != "km/h")), F.lit("maxspeed"))
+    return rows.select("row_id", F.explode(F.array_compact(F.array(length, speed))).alias("field")).distinct()
 
 
 def p2_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every length and speed in metres and km/h."""
-    edges = table(spark, sf, "gdf_edges").select("row_id", "length", "maxspeed", "note", "source", "loaded_at", "load_id", "geometry")
-    fontes = table(spark, sf, "fontes")
-    length = E.lengths(edges, fontes).withColumn("field", F.lit("length"))
-    speed = E.speeds(edges, fontes).drop("load_id").withColumn("field", F.lit("maxspeed"))
-    return length.unionByName(speed).select("row_id", "field", "pos", "val", "unit", F.round("si", 4).alias("si"))
+    rows = E.measured(table(spark, sf, "gdf_edges").select(MEASURED), table(spark, sf, "fontes"))
+    length = F.struct(F.lit("length").alias("field"), F.lit(1).cast("bigint").alias("pos"), F.col("length.val").alias("val"), F.col("length.num").alias("num"), F.col("length.unit").alias("unit"), F.col("length.si").alias("si"))
+    speeds = F.transform("speeds", lambda s: F.struct(F.lit("maxspeed").alias("field"), s["pos"].alias("pos"), s["val"].alias("val"), s["num"].alias("num"), s["unit"].alias("unit"), s["si"].alias("si")))
+    values = rows.select("row_id", F.explode(F.array_append(F.coalesce(speeds, F.expr("filter(array(named_struct('field', '', 'pos', 0L, 'val', '', 'num', 0D, 'unit', '', 'si', 0D)), x -> false)")), length)).alias("v"))
+    return values.select("row_id", "v.*").filter("num IS NOT NULL").select("row_id", "field", "pos", "val", "unit", F.round("si", 4).alias("si"))
+
+
+def p2_switches(spark: SparkSession, sf: str) -> DataFrame:
+    """The days on which each source recorded in which unit, from its values alone, without any statement."""
+    edges, fontes = table(spark, sf, "gdf_edges").select(MEASURED), table(spark, sf, "fontes")
+    counts = E.text_counts(edges, ["maxspeed"])
+    splits = learn_splits(edges, ["maxspeed"], E.DECIMALS, texts=E.texts_of(counts))
+    states = E.day_states(edges, fontes, counts, splits, statement_weight=0.0)
+    parts = [switches(states[kind]).select("source", F.lit(field).alias("field"), "unit", "first", "last") for field, kind in E.KINDS.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,24 +80,22 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "gdf_edges").select("row_id", "load_id", "lanes", "maxspeed", "note", "source", "loaded_at")
-    fontes = table(spark, sf, "fontes")
-    splits = learn_splits(edges, ["lanes", "maxspeed"], E.DECIMALS)
-    odd = splits.select("field", "text", "vals")
-    texts = distinct_texts(edges, ["lanes", "maxspeed"]).join(odd, ["field", "text"], "left").withColumn("vals", F.coalesce("vals", F.array(F.trim("text"))))
-    numeric = F.when(F.col("field") == "lanes", F.exists("vals", lambda v: number(v).isNotNull())).otherwise(F.exists("vals", lambda v: number(v, "speed").isNotNull()))
-    texts = cut(texts.select("field", "text", "n", numeric.alias("well_formed")))
-    lanes = split_values(edges, "row_id", ["lanes"], splits=splits.filter("field = 'lanes'")).withColumn("num", number("val"))
-    speed = E.speeds(edges, fontes, splits=splits.filter("field = 'maxspeed'"), numbers_only=False).withColumn("num", F.col("si"))
+    edges, fields = table(spark, sf, "gdf_edges").select([*MEASURED, "lanes"]), ["lanes", "maxspeed"]
+    counts = E.text_counts(edges, fields)
+    splits = learn_splits(edges, fields, E.DECIMALS, texts=E.texts_of(counts))
+    texts = E.texts_of(counts).join(splits, ["field", "text"], "left").withColumn("split", F.col("vals").isNotNull()).withColumn("vals", F.coalesce("vals", F.array(F.trim("text"))))
+    judged = cut(P.violations(cut(texts), {"lanes": None, "maxspeed": "speed"}).filter("split OR bad"))  # the other texts are their own value
+    rows = E.measured(edges, table(spark, sf, "fontes"), keep=("row_id", "load_id", "lanes"), counts=counts, splits=splits)
+    for f in fields:
+        rows = lookup(rows, judged.filter(F.col("field") == f).select(F.col("text").alias(f), F.col("vals").alias(f"{f}_vals"), F.col("bad").alias(f"{f}_bad")), [f], "left")
+    lanes = F.transform(F.filter(F.coalesce("lanes_vals", F.array(F.trim("lanes"))), lambda v: v != ""), lambda v: number(v))
+    speeds = F.transform("speeds", lambda s: s["si"])
+    marks = [P.mark(F.col("lanes"), F.col("lanes_bad"), lanes, 1, 10, whole=True).alias("lanes"), P.mark(F.col("maxspeed"), F.col("maxspeed_bad"), speeds, 5, 130).alias("maxspeed")]
+    marked = cut(rows.select("row_id", "load_id", *marks))  # read for the loads and for the findings of both columns
     grid = table(spark, sf, "grid").select(F.col("fid").alias("row_id"), "load_id", F.col("POP").cast("double").alias("num"))
-
-    def found(column: str, values: DataFrame, **how) -> DataFrame:
-        rows = edges.select("row_id", "load_id", F.col(column).alias("text"))
-        bad = P.rare_mask_texts(texts.filter(F.col("field") == column))
-        return P.number_findings(rows, bad, values.select("row_id", "pos", "num"), **how).withColumns({"tab": F.lit("gdf_edges"), "col": F.lit(column)})
-
-    out = found("lanes", lanes, low=1, high=10, whole=True).unionByName(found("maxspeed", speed, low=5, high=130))
-    out = out.unionByName(P.plain_findings(grid, 0, 5000).withColumns({"tab": F.lit("grid"), "col": F.lit("POP")}))
+    out = P.plain_findings(grid, 0, 5000).withColumns({"tab": F.lit("grid"), "col": F.lit("POP")})
+    for f in fields:
+        out = out.unionByName(P.number_findings(marked.select("row_id", "load_id", F.col(f).alias("mark"))).withColumns({"tab": F.lit("gdf_edges"), "col": F.lit(f)}))
     return out.select("tab", "col", F.col("load_id").cast("bigint").alias("load_id"), F.col("row_id").cast("bigint").alias("row_id"), "finding").distinct()
 
 
@@ -113,7 +124,7 @@ def p6_periods(spark: SparkSession, sf: str) -> DataFrame:
     return p6_found(spark, sf).groupBy("tab", "field", "period").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_bairros": p1_bairros, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_periods": p6_periods}
+QUERIES = {"p1_found": p1_found, "p1_bairros": p1_bairros, "p2_found": p2_found, "p2_values": p2_values, "p2_switches": p2_switches, "p3_found": p3_found, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_periods": p6_periods}
 
 _P6 = """
 WITH refs AS (
