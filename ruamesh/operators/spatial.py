@@ -1,7 +1,7 @@
 """Points near other points, in regions, and their nearest neighbours, complete and without a cross join.
 
-Space is cut into the Voronoi cells of pivots (a sample of the points in hash order, at most ``MAX_PIVOTS``, the only
-thing that travels to every task). A point lives in the cell of its nearest pivot p. Whatever lies within r of a point
+Space is cut into the Voronoi cells of pivots (a sample of the points by their hash, about ``MAX_PIVOTS`` at most, the
+only thing that travels to every task: 4 MB). A sample is dense where the points are, so dense places have small cells. A point lives in the cell of its nearest pivot p. Whatever lies within r of a point
 q has its home in a cell whose pivot is at most d(q, p) + 2r away, by the triangle inequality, so q is replicated to
 exactly those cells and every pair meets. Inside a cell a vantage-point tree answers in the exact metric: metres in
 the plane, or great-circle metres for longitude and latitude (``metric="sphere"``).
@@ -22,12 +22,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruamesh.common import cut
 
-MAX_PIVOTS = 4096
+MAX_PIVOTS = 1 << 18
+#: As many pivots are taken exactly in hash order; more by a threshold of the hash, so their number varies a little.
+EXACT_PIVOTS = 4096
+#: Points times edges that are compared at once.
+MAX_CROSSINGS = 4_000_000
 #: Points that a cell holds on average while there are few enough for the pivots.
 PER_CELL = 1500
 #: Ids of one place that share a slot of the pair join.
@@ -124,11 +129,12 @@ class VPTree:
 
 
 def pick_pivots(points: DataFrame) -> np.ndarray:
-    """Pivots from distinct (x, y): in hash order, so the same in every run; at most ``MAX_PIVOTS`` rows."""
+    """Pivots from distinct (x, y): by their hash, so the same in every run; about ``MAX_PIVOTS`` rows at most."""
     n = points.count()
     k = int(min(MAX_PIVOTS, max(1, n // PER_CELL)))
-    rows = points.select("x", "y").orderBy(F.xxhash64("x", "y"), "x", "y").limit(k).collect()
-    return np.array([(r["x"], r["y"]) for r in rows], dtype=float).reshape(-1, 2)
+    few, h = points.select("x", "y"), F.xxhash64("x", "y")
+    few = few.orderBy(h, "x", "y").limit(k) if k <= EXACT_PIVOTS else few.filter(h < F.lit(int(-(2**63) + 2**64 * (k / n))))
+    return np.array([(r["x"], r["y"]) for r in few.collect()], dtype=float).reshape(-1, 2)
 
 
 def _xy(pdf: pd.DataFrame) -> np.ndarray:
@@ -141,11 +147,11 @@ def _located(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(*extra, (F.col("x").cast("double") + 0.0).alias("x"), (F.col("y").cast("double") + 0.0).alias("y")).filter(ok).distinct()
 
 
-def _to_cells(pivots: np.ndarray, metric: str, guests: bool, radius: str | None = None) -> Callable:
+def _to_cells(pivots: Broadcast, metric: str, guests: bool, radius: str | None = None) -> Callable:
     """Rows gain cell and home; with guests also a copy for every further cell within reach of ``radius``."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = VPTree(pivots, metric)
+        tree = VPTree(pivots.value, metric)
         for pdf in batches:
             at = _xy(pdf)
             home, d = tree.nearest(at)
@@ -169,6 +175,7 @@ def near_pairs(points: DataFrame, radius: float, metric: str = "plane") -> DataF
     pivots = pick_pivots(places)
     if not len(pivots):
         return ids.select(F.col("id").alias("key_a"), F.col("id").alias("key_b")).limit(0)
+    pivots = points.sparkSession.sparkContext.broadcast(pivots)
     cells = places.select("x", "y", F.lit(float(radius)).alias("r")).mapInPandas(_to_cells(pivots, metric, True, "r"), "x double, y double, r double, cell int, home boolean")
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,6 +205,7 @@ def near_between(points: DataFrame, targets: DataFrame, radius: float, metric: s
     pivots = pick_pivots(places)
     if not len(pivots):
         return ids.select("id", F.lit(None).cast("bigint").alias("target"), F.lit(None).cast("double").alias("dist")).limit(0)
+    pivots = points.sparkSession.sparkContext.broadcast(pivots)
     homes = places.mapInPandas(_to_cells(pivots, metric, False), "x double, y double, cell int, home boolean")
     spread = goals.mapInPandas(_to_cells(pivots, metric, True, "r"), "target bigint, x double, y double, r double, cell int, home boolean")
 
@@ -216,28 +224,41 @@ def ring_edges(rings: str) -> F.Column:
 
 
 def inside(px: np.ndarray, py: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Strictly inside by the even-odd rule over edges (x1, y1, x2, y2); on an edge is not inside."""
-    x, y = px[:, None], py[:, None]
-    x1, y1, x2, y2 = e.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-    cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
-    on = (cross == 0) & (x >= np.minimum(x1, x2)) & (x <= np.maximum(x1, x2)) & (y >= np.minimum(y1, y2)) & (y <= np.maximum(y1, y2))
-    return (crosses.sum(axis=1) % 2 == 1) & ~on.any(axis=1)
+    """Strictly inside by the even-odd rule over edges (x1, y1, x2, y2); on an edge is not inside.
 
-
-def regions_of(points: DataFrame, regions: DataFrame, metric: str = "plane") -> DataFrame:
+    Points go in order of y, so many at a time that points times edges stay bounded, and meet only the edges that a ray
+    to the right could cross.
+    """
+    out, order, at = np.zeros(len(px), bool), np.argsort(py, kind="stable"), 0
+    left, low, high = np.maximum(e[:, 0], e[:, 2]), np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    size = max(1, MAX_CROSSINGS // max(1, len(e)))
+    while at < len(order):
+        k = order[at : at + size]
+        at += size
+        near = e[(high >= py[k[0]]) & (low <= py[k[-1]]) & (left >= px[k].min())]
+        x, y = px[k][:, None], py[k][:, None]
+        x1, y1, x2, y2 = near.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+        cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+        on = (cross == 0) & (x >= np.minimum(x1, x2)) & (x <= np.maximum(x1, x2)) & (y >= np.minimum(y1, y2)) & (y <= np.maximum(y1, y2))
+        out[k] = (crosses.sum(axis=1) % 2 == 1) & ~on.any(axis=1)
+    return out
+
+
+def regions_of(points: DataFrame, regions: DataFrame) -> DataFrame:
     """(id, region): the regions that each point lies strictly inside.
 
-    ``points``: (id, x, y); ``regions``: (region, rings). The even-odd rule is planar; holes are rings too.
+    ``points``: (id, x, y); ``regions``: (region, rings). The even-odd rule is that of the coordinates' plane, metres
+    or degrees, so cells and replication are the plane's too; holes are rings too.
     """
     ids = cut(_located(points, F.col("id").cast("bigint").alias("id")))
     places = cut(ids.select("x", "y").distinct())
     pivots = pick_pivots(places)
-    none = ids.select("id", F.lit(None).cast("bigint").alias("region")).limit(0)
     if not len(pivots):
-        return none
-    homes = places.mapInPandas(_to_cells(pivots, metric, False), "x double, y double, cell int, home boolean")
+        return ids.select("id", F.lit(None).cast("bigint").alias("region")).limit(0)
+    pivots = points.sparkSession.sparkContext.broadcast(pivots)
+    homes = places.mapInPandas(_to_cells(pivots, "plane", False), "x double, y double, cell int, home boolean")
     flat = regions.select(F.col("region").cast("bigint").alias("region"), ring_edges("rings").alias("e")).filter("size(e) > 2")
     flat = flat.withColumns({"x": F.expr("(array_min(e.x1) + array_max(e.x1)) / 2"), "y": F.expr("(array_min(e.y1) + array_max(e.y1)) / 2")})
     reach = F.expr("sqrt(array_max(transform(e, s -> (s.x1 - x) * (s.x1 - x) + (s.y1 - y) * (s.y1 - y))))")
@@ -270,16 +291,18 @@ def nearest(points: DataFrame, targets: DataFrame, metric: str = "plane") -> Dat
     pivots = pick_pivots(goals)
     if not len(pivots):
         return ids.select("id", F.lit(None).cast("bigint").alias("target"), F.lit(None).cast("double").alias("dist")).limit(0)
-    homes = cut(goals.mapInPandas(_to_cells(pivots, metric, False), "x double, y double, target bigint, cell int, home boolean"))
-    # At most MAX_PIVOTS rows: how far each cell reaches from its pivot.
     reach = np.zeros(len(pivots))
+    pivots = points.sparkSession.sparkContext.broadcast(pivots)
+    homes = cut(goals.mapInPandas(_to_cells(pivots, metric, False), "x double, y double, target bigint, cell int, home boolean"))
+    # One row a pivot: how far each cell reaches from its pivot.
 
     def far(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf["cell"].iloc[0])
-        return pd.DataFrame({"cell": [k], "reach": [float(METRICS[metric](_xy(pdf), pivots[k]).max())]})
+        return pd.DataFrame({"cell": [k], "reach": [float(METRICS[metric](_xy(pdf), pivots.value[k]).max())]})
 
     for r in homes.groupBy("cell").applyInPandas(far, "cell int, reach double").collect():
         reach[r["cell"]] = r["reach"]
+    reach = points.sparkSession.sparkContext.broadcast(reach)
 
     def local(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
         bound = qs["bound"].to_numpy(dtype=float) if "bound" in qs.columns else None
@@ -293,12 +316,12 @@ def nearest(points: DataFrame, targets: DataFrame, metric: str = "plane") -> Dat
     first = cut(places.groupBy("cell").cogroup(homes.groupBy("cell")).applyInPandas(local, found))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = VPTree(pivots, metric)
+        tree = VPTree(pivots.value, metric)
         for pdf in batches:
             at, bound = _xy(pdf), pdf["dist"].to_numpy(dtype=float)
             home, d = tree.nearest(at)
             q, cell = tree.within(at, d + 2 * bound + SLACK)
-            use = (cell != home[q]) & (METRICS[metric](at[q], pivots[cell]) - reach[cell] <= bound[q] + SLACK)
+            use = (cell != home[q]) & (METRICS[metric](at[q], pivots.value[cell]) - reach.value[cell] <= bound[q] + SLACK)
             q, cell = q[use], cell[use]
             yield pd.DataFrame({"x": at[q, 0], "y": at[q, 1], "bound": bound[q], "cell": cell})
 

@@ -30,8 +30,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     within = regions_of(points, bairros).select(F.lit("in").alias("relation"), F.col("id").alias("key_a"), F.col("region").alias("key_b"))
     nodes = table(spark, sf, "gdf_nodes").select(F.col("osmid").alias("target"), "x", "y")
     true = nearest(points, nodes).join(points.select("id", "node").distinct(), "id")
-    wrong = true.filter(~F.col("node").eqNullSafe(F.col("target"))).select(F.lit("node").alias("relation"), F.col("id").alias("key_a"), F.col("target").alias("key_b"))
-    return near.unionByName(within).unionByName(wrong).distinct()
+    wrong = true.filter(~F.col("node").eqNullSafe(F.col("target"))).select(F.lit("node").alias("relation"), F.col("id").alias("key_a"), F.col("target").alias("key_b")).distinct()
+    return near.unionByName(within).unionByName(wrong)
 
 
 def p1_bairros(spark: SparkSession, sf: str) -> DataFrame:

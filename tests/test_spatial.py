@@ -77,3 +77,34 @@ def test_empty(spark):
     assert S.near_pairs(none, 5.0).count() == 0 and S.near_pairs(one, 5.0).count() == 0
     assert S.nearest(one, none.withColumnRenamed("id", "target")).count() == 0
     assert S.nearest(none, one.withColumnRenamed("id", "target")).count() == 0
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_regions_in_degrees_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "EXACT_PIVOTS", most)
+    rng = np.random.default_rng(5)
+    at = np.column_stack([rng.uniform(-51.3, -51.0, 900), rng.uniform(-30.6, -30.3, 900)])
+    corners = [(x, y, x + rng.uniform(0.001, 0.05), y + rng.uniform(0.001, 0.05)) for x, y in at[rng.integers(0, 900, 120)] - 0.002]
+    regions = [(k, [ring((a, b), (c, b), (c, d), (a, d))]) for k, (a, b, c, d) in enumerate(corners)]
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(at)], "id bigint, x double, y double")
+    r = spark.createDataFrame(regions, "region bigint, rings array<array<struct<x: double, y: double>>>")
+    want = {(i, k) for i, (x, y) in enumerate(at) for k, (a, b, c, d) in enumerate(corners) if a < x < c and b < y < d}
+    got = [tuple(x) for x in S.regions_of(p, r).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_inside_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    turn = np.sort(rng.uniform(0, 2 * np.pi, 300))
+    v = np.column_stack([np.cos(turn), np.sin(turn)]) * rng.uniform(0.4, 1.0, 300)[:, None]
+    e = np.column_stack([v, np.roll(v, -1, axis=0)])
+    p = np.concatenate([rng.uniform(-1, 1, (2000, 2)), v[:50], (e[:50, :2] + e[:50, 2:]) / 2])
+    whole = S.inside(p[:, 0], p[:, 1], e)
+    monkeypatch.setattr(S, "MAX_CROSSINGS", 1000)
+    assert (S.inside(p[:, 0], p[:, 1], e) == whole).all() and 0 < whole.sum() < 2000 and not whole[2000:2050].any()
+
+
+def test_many_pivots(spark, monkeypatch):
+    monkeypatch.setattr(S, "EXACT_PIVOTS", 2)
+    test_near_pairs(spark)
+    test_nearest_with_ties(spark)
