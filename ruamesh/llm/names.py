@@ -4,14 +4,17 @@ Parsing undoes what order and dress do: the kind of way in front, behind a comma
 abbreviated, "Surname, Given" turned round, titles, organisations and their legal forms spelled out, numbers kept.
 Then the *rewriting rules* give each name its forms:
 
-* a given name stands for itself, for the names it is a nickname of, and for its initial;
-* a token that hardly occurs is rewritten to the frequent tokens that a slip or two away (letters swapped, doubled,
-  left out, struck wrong, or spelled by ear) give it; candidates meet in an equi-join of deletion forms;
+* a given name stands for itself, for the names it is a nickname of (by a table of common ones, and by the rules of
+  clipping and diminutives for all others), and for its initial;
+* a token is rewritten to more frequent tokens that a slip or two away (letters swapped, doubled, left out, struck
+  wrong, or spelled by ear) give it; candidates meet in an equi-join of deletion forms. Tokens of three letters or
+  fewer are too short to tell a slip from another name and stay as they are;
 * a missing kind of way stands for any.
 
 Forms are exploded and equi-joined with the forms that the fully written streets have. A form that several streets
-share says little, so each match is scored by the rarity of its form and the cost of the rewriting; the best wins, and
-where two streets stay equally good the name is linked to neither. Names of one street then pair up by its id.
+share says little: each match is scored by the information of its form (log2 of the streets that share it) and by the
+cost of the rewriting, a slip counting ``SLIP_BITS``; the best wins, and where two streets stay equally good the name
+is linked to neither. The membership of names in streets is the primary result (``street_ids``); pairs come from it.
 
 Defined results: null and blank names and placeholders mean no street; names of one spelling count once, however
 many rows have it; names that no other form matches stand alone and give no row. Extra columns are ignored.
@@ -91,68 +94,190 @@ ORGANISATIONS = {
 }
 #: Legal forms that add nothing behind an organisation's name.
 LEGAL = "ltda sa s/a me eireli epp s.a"
-#: Given names and their nicknames, lower case without accents.
+#: Common given names of the language and their nicknames, lower case without accents. Names beyond the
+#: table are clipped and made small by ``clipped``.
 NICKNAMES = {
     "adelaide": "dede laide adelinha",
+    "adriana": "adri dri drica",
+    "adriano": "dri drico",
+    "afonso": "fonso fonsinho",
+    "agostinho": "gusto tinho",
+    "alberto": "beto betinho berto",
+    "alessandra": "ale sandra",
+    "alexandre": "ale xande xandinho alex",
+    "alfredo": "fredo fredinho",
     "alice": "lili licinha alicinha",
+    "aline": "lili nine",
+    "amanda": "mandinha manda",
+    "ana": "aninha nana",
+    "anderson": "andy dede",
+    "andre": "dede andrezinho",
+    "andrea": "dea deinha",
+    "angela": "ange angelinha",
+    "anselmo": "selmo",
     "antonio": "tonico toninho tonho totonho tom toni",
+    "aparecida": "cida cidinha",
+    "arlindo": "lindo",
+    "armando": "mandinho",
+    "arnaldo": "naldo naldinho",
+    "arthur": "tuca tutu",
     "augusto": "guto gugu",
     "beatriz": "bia be biazinha",
     "benedito": "dito bene ditinho",
+    "bento": "bentinho",
     "bernardo": "be beco nado bernardinho",
+    "bruno": "bruninho",
     "caetano": "cae tano caco",
+    "camila": "mila camilinha ca",
     "carlos": "carlao carlinhos caca carlito cadu",
+    "carolina": "carol lina caca",
+    "catarina": "cata catita cat",
     "cecilia": "cica cilinha ceci",
+    "celia": "celinha",
+    "celso": "celsinho",
+    "cesar": "cesinha",
+    "clara": "clarinha",
+    "claudia": "cau claudinha",
+    "claudio": "claudinho",
+    "cristiano": "cris",
+    "cristina": "cris tina",
+    "daniel": "dani dan",
+    "daniela": "dani",
+    "david": "dede davi",
+    "debora": "deb debs",
     "delfina": "fina delfininha",
+    "denise": "de deni",
+    "diego": "di dieguinho",
+    "diogo": "dioguinho",
     "dolores": "lola dolorinhas lolita",
     "domingos": "mingo minguinho dominguinhos",
+    "edson": "edinho",
     "eduardo": "edu dudu duda eduardinho",
+    "eliane": "lili elia",
+    "elias": "lia",
     "elisabete": "bete beth betinha lisa elis",
+    "emilia": "mila mimi emi",
+    "emilio": "milo",
+    "erico": "riquinho",
     "ernesto": "neto nesto ernestinho",
+    "estela": "tela",
+    "eugenia": "gegenia",
+    "eugenio": "geninho",
+    "eunice": "nice nicinha",
+    "fabiana": "fabi bia",
+    "fabio": "fabinho",
+    "fabricio": "fafa bricio",
+    "felipe": "lipe felipinho fe",
     "felisberto": "feli berto betinho",
     "fernanda": "nanda fe fefe",
+    "fernando": "nando fe nandinho",
+    "flavia": "flavinha fla",
+    "flavio": "flavinho",
     "francisco": "chico chiquinho xico quico paco",
     "gabriela": "gabi gabizinha bibi",
+    "geraldo": "gege geraldinho",
+    "gilberto": "giba gil beto",
+    "gloria": "glorinha",
     "gregorio": "grego gori greg",
     "guilherme": "gui guiga guilherminho",
+    "guiomar": "guio",
+    "gustavo": "guga guto gu",
     "helena": "lena leninha leleca",
     "henrique": "rique ique henriquinho kiko",
     "herminia": "mina minia hermi",
+    "hugo": "huguinho",
+    "humberto": "beto berto",
     "inacio": "nacio inacinho naco",
+    "ines": "inesinha",
     "irene": "nene rene ireninha",
     "isabel": "bel belinha isa bebel",
+    "ivone": "vone",
+    "jaime": "jaiminho",
+    "joana": "jo joaninha",
     "joao": "joaozinho jango janjao joca",
     "joaquim": "quim quincas quinzinho joca",
+    "jorge": "jorginho",
     "jose": "ze zeca juca zezinho zequinha",
     "josefa": "zefa zefinha",
+    "juliana": "ju juju",
+    "juliano": "ju",
+    "julio": "julinho juca",
+    "laura": "laurinha lau",
+    "leandro": "le leo",
+    "leonardo": "leo nardo",
     "leopoldo": "leo poldo leozinho",
+    "leticia": "le leti",
+    "lourdes": "lurdinha",
+    "lucas": "luquinhas lu",
+    "lucia": "lu lucinha",
+    "luciana": "lu lulu",
     "luis": "lula luisinho lu luizinho",
     "luisa": "lu luisinha lulu isa",
     "manuel": "mane maneco manu manezinho maneca",
+    "marcelo": "celo marcelinho",
+    "marcia": "marcinha",
+    "marcos": "marquinhos",
     "margarida": "guida magui margo maga",
+    "maria": "mari maricota mariquinha",
+    "mariana": "mari nana",
+    "mario": "marinho",
+    "marta": "martinha",
+    "mateus": "teus mateusinho",
     "mauricio": "mau ricio mauricinho",
+    "miguel": "miguelito guel",
+    "monica": "moni mo",
     "natalia": "nati talia naty",
+    "nelson": "nelsinho",
     "nicolau": "nico lau nicolauzinho",
     "norberto": "beto berto norba nonô",
     "olivia": "livia oli vivi",
+    "orlando": "lando",
     "osmar": "mazinho osmarzinho mar",
+    "oswaldo": "vado waldo",
     "otavio": "tavinho tavo tato",
     "patricia": "pati pat ticia",
+    "paula": "paulinha",
+    "paulo": "paulinho",
     "pedro": "pedrinho pedroca pepe pedrao",
     "plinio": "plininho nino",
+    "rafael": "rafa fael",
     "raimundo": "mundico mundinho rai raimundinho",
+    "raquel": "quel rachel",
+    "regina": "rege gina",
+    "renato": "rena natinho",
+    "ricardo": "rica cadinho",
+    "rita": "ritinha",
     "roberto": "beto betinho robertinho bob",
+    "rodrigo": "digo rodriguinho",
+    "rogerio": "rogerinho gero",
+    "ronaldo": "naldo roni",
     "rosalia": "rosa lia rosinha",
+    "sandra": "sandrinha",
     "sebastiao": "tiao bastiao tiaozinho",
+    "sergio": "serginho",
     "severino": "bio biu nino severo",
+    "silvia": "silvinha",
+    "simone": "mone si",
     "sofia": "sofi fifi so",
+    "sonia": "soninha",
+    "tania": "taninha",
+    "tatiana": "tati",
     "teodoro": "teo doro",
     "teresa": "tete teca terezinha tere",
+    "tereza": "teca tete",
+    "tiago": "ti tiaguinho",
     "tiberio": "tibe berio",
     "tomas": "tom tomasinho",
     "valentina": "tina vale val",
+    "vanessa": "nessa van",
+    "vera": "verinha",
     "vicente": "vice cente vicentinho",
     "virgilio": "gilo virgi vivi",
+    "vitor": "vitinho vito",
+    "viviane": "vivi vi",
+    "walter": "valtinho",
+    "wilson": "wilsinho",
+    "zelia": "zelinha",
 }
 _PLACEHOLDER = re.compile(r"(sem|s/?|nao tem|s\.) ?(nome|n|denominacao|nome definido|identificacao|denom)|(rua|via|logradouro|avenida|travessa|estrada)? ?(sem|s/) ?(nome|denominacao|identificacao|n)|n/?[dai]|nao (informado|identificad[oa]|consta|disponivel|ha)|desconhecid[oa]|ignorad[oa]|none|null|nan|na|unnamed|no name|unknown|indefinid[oa]|a definir|x+|nome|tbd|todo|projetada|vazio")
 
@@ -251,8 +376,10 @@ def parse(name: str | None) -> tuple[str, str, str, str, str] | None:
 
 
 _PARSED = "name string, n bigint, kind string, title string, first string, middle string, last string"
-#: Share of all given names above which one is taken as a target of rewriting (so there are at most 1 / share).
-GIVEN_SHARE = 0.001
+#: Bits that a slip counts in the score of a match.
+SLIP_BITS = 8
+#: Spellings of one street that share a slot when pairs are made.
+PER_SLOT = 500
 #: A rare token is rewritten to one that stands in this many times as many contexts, or rows where both are rare.
 TIMES = 3.0
 
@@ -274,6 +401,13 @@ def deletions(token: str) -> set[str]:
     return out
 
 
+def clipped(given: str) -> set[str]:
+    """What a given name is cut down to or made small by, for names beyond the table: Rafa, Nando, Marquinhos."""
+    stem = given.rstrip("aeiou") if len(given) > 4 else given
+    small = {stem + end for end in ("inho", "inha", "inhos", "zinho", "zinha", "ito", "ita", "ao")} | {given + "zinho", given + "zinha"}
+    return {given[:k] for k in range(3, len(given) - 1)} | {given[k:] for k in range(1, len(given) - 3)} | small if len(given) > 4 else small
+
+
 def cost(a: str, b: str) -> float:
     """Slips from one token to another, as written or (a little dearer) as heard; more than 2 is too many."""
     most = 2 if min(len(a), len(b)) > 6 else 1
@@ -281,8 +415,9 @@ def cost(a: str, b: str) -> float:
     return got if got <= most + 0.5 else 9.0
 
 
-def token_rewrites(tokens: DataFrame, target: str) -> DataFrame:
-    """(tok, to, cost) from (tok, w, ctx): w rows, ctx contexts. ``target`` says which tokens are rewritten to."""
+def token_rewrites(tokens: DataFrame) -> DataFrame:
+    """(tok, to, cost) from (tok, w, ctx): w rows, ctx contexts. Every token may be rewritten to, by a rarer one."""
+    tokens = tokens.repartition(_width(tokens), "tok")  # few rows in, many out
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -295,11 +430,29 @@ def token_rewrites(tokens: DataFrame, target: str) -> DataFrame:
             yield pdf[pdf["cost"] <= 2.5]
 
     forms = tokens.mapInPandas(explode, "tok string, w bigint, ctx bigint, form string")
-    to = tokens.filter(target).mapInPandas(explode, "tok string, w bigint, ctx bigint, form string")
-    to = to.select(F.col("tok").alias("to"), F.col("w").alias("tw"), F.col("ctx").alias("tctx"), "form")
+    to = forms.select(F.col("tok").alias("to"), F.col("w").alias("tw"), F.col("ctx").alias("tctx"), "form")
     more = (F.col("tctx") >= TIMES * F.col("ctx")) | (F.col("ctx") <= 2) & (F.struct("tw", "to") > F.struct("w", "tok")) & ((F.col("tctx") <= 2) | (F.col("tctx") > F.col("ctx")))
     pairs = forms.join(to, "form").filter((F.col("tok") != F.col("to")) & more).select("tok", "to").distinct()
-    return pairs.mapInPandas(check, "tok string, to string, cost double")
+    return pairs.repartition(_width(pairs), "tok", "to").mapInPandas(check, "tok string, to string, cost double")
+
+
+def clippings(tokens: DataFrame) -> DataFrame:
+    """(tok, to, cost): tokens outside the table that are clipped from a more frequent one outside it, from (tok, w, ctx)."""
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(t, c, f) for t, c in zip(pdf["tok"], pdf["ctx"]) if not t.isdigit() for f in clipped(t) - {t}]
+            yield pd.DataFrame(out, columns=["to", "tctx", "tok"])
+
+    other = tokens.filter(~F.col("tok").isin(*sorted(_GIVEN, key=str)) & ~F.col("tok").isin(*ORGANISATIONS))
+    made = other.repartition(_width(other), "tok").mapInPandas(explode, "to string, tctx bigint, tok string")
+    return made.join(other, "tok").filter(F.col("tctx") >= TIMES * F.col("ctx")).select("tok", "to", F.lit(0.75).alias("cost"))
+
+
+def _width(df: DataFrame) -> int:
+    """Partitions for work in Python, whatever the few rows before it were coalesced to."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _conflict(a: str, b: str) -> F.Column:
@@ -335,14 +488,12 @@ def street_ids(names: DataFrame, column: str = "name") -> DataFrame:
     parsed = cut(distinct.repartition(F.hash("name")).mapInPandas(_parse, _PARSED))
     lasts = parsed.groupBy(F.col("last").alias("tok")).agg(F.sum("n").alias("w"), F.count_distinct("kind", "first").alias("ctx"))
     firsts = cut(parsed.filter("length(first) > 1").groupBy(F.col("first").alias("tok")).agg(F.sum("n").alias("w"), F.count_distinct("kind", "last").alias("ctx")))
-    total = firsts.agg(F.sum("ctx")).first()[0] or 0
-    fixes_last = cut(token_rewrites(lasts, "ctx >= 3 OR w >= 5 OR ctx <= 2 AND w >= 2"))
-    known = ", ".join(f"'{t}'" for t in sorted(_GIVEN))
-    fixes_first = cut(token_rewrites(firsts, f"ctx >= {GIVEN_SHARE * total} OR tok IN ({known})"))
+    fixes_last = cut(token_rewrites(lasts))
+    fixes_first = cut(token_rewrites(firsts))
     # Fixed and small: the table of nicknames.
     nick = names.sparkSession.createDataFrame([(k, v) for k, vs in sorted(_NICK.items()) for v in vs], "nick string, given string")
     own = firsts.select("tok", F.col("tok").alias("to"), F.lit(0.0).alias("cost")).unionByName(fixes_first)
-    called = cut(own.join(F.broadcast(nick), F.col("to") == F.col("nick")).select("tok", F.col("given").alias("to"), (F.col("cost") + 0.5).alias("cost")).groupBy("tok", "to").agg(F.min("cost").alias("cost")))
+    called = cut(own.join(F.broadcast(nick), F.col("to") == F.col("nick")).select("tok", F.col("given").alias("to"), (F.col("cost") + 0.5).alias("cost")).unionByName(clippings(firsts)).groupBy("tok", "to").agg(F.min("cost").alias("cost")))
     f = fixes_last.select(F.col("tok").alias("last"), F.col("to").alias("last2"), F.col("cost").alias("c2"))
 
     def rewritten(df: DataFrame, given: DataFrame) -> DataFrame:
@@ -377,14 +528,20 @@ def street_ids(names: DataFrame, column: str = "name") -> DataFrame:
     part = parsed.filter("kind = '' OR length(first) = 1")
     tag = F.when(F.length("first2") == 1, F.lit("i")).otherwise(F.lit("f"))
     asked = rewritten(part, cut(fixes_first.unionByName(called))).select("name", "middle", "title", "cost", F.concat_ws("|", tag, "kind", "first2", "last2").alias("form"))
-    found = _best(asked.join(by_form, "form").withColumn("cost", F.col("cost") + F.log2("shared") / 100), ["name"])
+    found = _best(asked.join(by_form, "form").withColumn("cost", F.col("cost") + F.log2("shared") / SLIP_BITS), ["name"])
     whole = full.join(final.select("kind", "first", "last", F.col("to").alias("sid")), ["kind", "first", "last"]).select("name", "sid")
     loose = part.join(found, "name", "left").select("name", F.coalesce("sid", F.concat_ws("|", F.lit("?"), "kind", "first", "middle", "last")).alias("sid"))
     return cut(whole.unionByName(loose))
 
 
 def variant_pairs(names: DataFrame, column: str = "name") -> DataFrame:
-    """(name_a, name_b): different spellings of one street, the smaller by code points first."""
+    """(name_a, name_b): different spellings of one street, the smaller by code points first.
+
+    The spellings of a street are dealt to slots, so that no task makes all pairs of a street with very many.
+    """
     ids = street_ids(names, column)
-    b = ids.select(F.col("name").alias("name_b"), "sid")
-    return ids.select(F.col("name").alias("name_a"), "sid").join(b, "sid").filter("name_a < name_b").select("name_a", "name_b")
+    sizes = ids.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sid", F.ceil(F.col("n") / PER_SLOT).alias("slots"))
+    members = cut(ids.join(sizes, "sid"))
+    a = members.select(F.col("name").alias("name_a"), "sid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot"))
+    b = members.select(F.col("name").alias("name_b"), "sid", F.pmod(F.xxhash64("name"), "slots").alias("slot"))
+    return a.join(b, ["sid", "slot"]).filter("name_a < name_b").select("name_a", "name_b")

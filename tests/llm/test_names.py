@@ -50,3 +50,21 @@ def test_empty_and_repeats(spark):
 
 def test_very_long_name(spark):
     assert pairs(spark, ["Rua " + "Abc " * 3000, "Rua Alice Xy"]) == set()
+
+
+def test_given_names_beyond_the_table(spark):
+    rows = [f"Rua {g} {s}" for g in ("Cleonice", "Wanderlei", "Ubirajara") for s in ("Joquefosa", "Framotuti", "Boxabalza", "Vinlidate")] * 3
+    got = pairs(spark, [*rows, "Rua Cleo Joquefosa", "Rua Wanderleizinho Framotuti", "Rua Bira Boxabalza", "Rua Ubriajara Vinlidate", "Rua Jara Joquefosa"])
+    assert ("Rua Cleo Joquefosa", "Rua Cleonice Joquefosa") in got and ("Rua Wanderlei Framotuti", "Rua Wanderleizinho Framotuti") in got
+    assert ("Rua Ubirajara Vinlidate", "Rua Ubriajara Vinlidate") in got and ("Rua Jara Joquefosa", "Rua Ubirajara Joquefosa") in got
+    assert len(got) == 4  # "Bira" is cut from the middle
+
+
+def test_two_spellings_that_stand_once_each(spark):
+    assert pairs(spark, ["Rua Alice Framotuti", "Rua Alice Framotutti", "Rua Alice Boxabalza"]) == {("Rua Alice Framotuti", "Rua Alice Framotutti")}
+
+
+def test_pairs_of_a_street_with_many_spellings(spark, monkeypatch):
+    monkeypatch.setattr(N, "PER_SLOT", 4)
+    names = ["Rua Alice Framotuti" + "." * k for k in range(20)]
+    assert len(pairs(spark, names)) == 190
