@@ -417,7 +417,7 @@ def cost(a: str, b: str) -> float:
 
 def token_rewrites(tokens: DataFrame) -> DataFrame:
     """(tok, to, cost) from (tok, w, ctx): w rows, ctx contexts. Every token may be rewritten to, by a rarer one."""
-    tokens = tokens.repartition(_width(tokens), "tok")  # few rows in, many out
+    tokens = tokens.repartition(_width(tokens), F.xxhash64("tok"))  # few rows in, many out
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -429,11 +429,11 @@ def token_rewrites(tokens: DataFrame) -> DataFrame:
             pdf = pdf.assign(cost=[cost(a, b) for a, b in zip(pdf["tok"], pdf["to"])])
             yield pdf[pdf["cost"] <= 2.5]
 
-    forms = tokens.mapInPandas(explode, "tok string, w bigint, ctx bigint, form string")
+    forms = cut(tokens.mapInPandas(explode, "tok string, w bigint, ctx bigint, form string"))
     to = forms.select(F.col("tok").alias("to"), F.col("w").alias("tw"), F.col("ctx").alias("tctx"), "form")
     more = (F.col("tctx") >= TIMES * F.col("ctx")) | (F.col("ctx") <= 2) & (F.struct("tw", "to") > F.struct("w", "tok")) & ((F.col("tctx") <= 2) | (F.col("tctx") > F.col("ctx")))
     pairs = forms.join(to, "form").filter((F.col("tok") != F.col("to")) & more).select("tok", "to").distinct()
-    return pairs.repartition(_width(pairs), "tok", "to").mapInPandas(check, "tok string, to string, cost double")
+    return pairs.repartition(_width(pairs), F.xxhash64("tok", "to")).mapInPandas(check, "tok string, to string, cost double")
 
 
 def clippings(tokens: DataFrame) -> DataFrame:
@@ -445,7 +445,7 @@ def clippings(tokens: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["to", "tctx", "tok"])
 
     other = tokens.filter(~F.col("tok").isin(*sorted(_GIVEN, key=str)) & ~F.col("tok").isin(*ORGANISATIONS))
-    made = other.repartition(_width(other), "tok").mapInPandas(explode, "to string, tctx bigint, tok string")
+    made = other.repartition(_width(other), F.xxhash64("tok")).mapInPandas(explode, "to string, tctx bigint, tok string")
     return made.join(other, "tok").filter(F.col("tctx") >= TIMES * F.col("ctx")).select("tok", "to", F.lit(0.75).alias("cost"))
 
 
