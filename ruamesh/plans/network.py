@@ -264,9 +264,9 @@ def distinct_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, sf: str) -> DataFrame:
-    """(u, v, w) in millimetres; a street that is not one-way goes both ways."""
+    """(u, v, w) in millimetres; a street that is not known to be one-way goes both ways."""
     e = N.characterised(_edges(spark, sf).select("u", "v", "highway", "geometry", "oneway"), _nodes(spark, sf)).select("u", "v", F.col("length_mm").alias("w"), "oneway")
-    return e.select("u", "v", "w").unionByName(e.filter("oneway = false").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    return e.select("u", "v", "w").unionByName(e.filter("NOT coalesce(oneway, false)").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
 
 
 @query()
@@ -303,7 +303,7 @@ def od_second_routes(spark: SparkSession, sf: str) -> DataFrame:
     e = N.characterised(_edges(spark, sf).select("u", "v", "highway", "geometry", "oneway"), _nodes(spark, sf))
     w = F.when(F.col("modal") == "bus", F.floor(F.col("length_mm") * 1.5)).otherwise(F.col("length_mm"))
     e = e.select("u", "v", w.alias("w"), "oneway")
-    e = e.select("u", "v", "w").unionByName(e.filter("oneway = false").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    e = e.select("u", "v", "w").unionByName(e.filter("NOT coalesce(oneway, false)").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     od = _od(spark, sf)
     return od.join(GR.shortest_paths(e, od), ["source", "target"]).select("pair_id", "source", "target", "dist")
 
