@@ -54,8 +54,8 @@ def stated_unit(text: Column | str, kind: str) -> Column:
     v = F.lower(F.col(text) if isinstance(text, str) else text)
     out = F.lit(None).cast("string")
     for unit, words in reversed(WORDS[kind].items()):
-        tail = r"(?![\w/])" if kind == "speed" else r"(?![\w/²³])(?! (?:por|per|/) ?(?:hora|hour|segundo|second))"
-        out = F.when(v.rlike(rf"(?<![\w/])(?<!\d )(?:{words}){tail}"), F.lit(unit)).otherwise(out)
+        tail = r"(?![\p{L}\p{N}_/])" if kind == "speed" else r"(?![\p{L}\p{N}_/²³])(?! (?:por|per|/) ?(?:hora|hour|segundo|second))"
+        out = F.when(v.rlike(rf"(?<![\p{{L}}\p{{N}}_/])(?<!\d )(?:{words}){tail}"), F.lit(unit)).otherwise(out)
     return F.when(v.rlike(FIELD_WORDS[kind]), out)
 
 

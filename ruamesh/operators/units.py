@@ -45,8 +45,8 @@ def statements(sources: DataFrame, kind: str) -> DataFrame:
     prose = sources.select("source", F.explode(F.split(F.lower("descricao"), r"[;.]\s+|\.$")).alias("clause"))
     out = None
     for unit, words in WORDS[kind].items():
-        tail = r"(?![\w/])" if kind == "speed" else r"(?![\w/²³])(?! (?:por|per|/) ?(?:hora|hour|segundo|second))"
-        one = prose.filter(F.col("clause").rlike(rf"(?<![\w/])(?<!\d )(?:{words}){tail}")).withColumn("unit", F.lit(unit))
+        tail = r"(?![\p{L}\p{N}_/])" if kind == "speed" else r"(?![\p{L}\p{N}_/²³])(?! (?:por|per|/) ?(?:hora|hour|segundo|second))"
+        one = prose.filter(F.col("clause").rlike(rf"(?<![\p{{L}}\p{{N}}_/])(?<!\d )(?:{words}){tail}")).withColumn("unit", F.lit(unit))
         out = one if out is None else out.unionByName(one)
     day = lambda lead: F.to_date(F.nullif(F.regexp_extract("clause", rf"(?:{lead})\s+{_DATE}", 0), F.lit("")).substr(-10, 10), "dd/MM/yyyy")
     return out.select("source", "unit", day("a partir de|desde|from|since").alias("first"), day("até|ate|until").alias("last")).distinct()

@@ -13,6 +13,7 @@ from ruamesh.operators import graph as GR
 from ruamesh.operators import mobility as M
 from ruamesh.operators import network as N
 from ruamesh.operators.spatial import near_between, nearest, regions_of
+from ruamesh.plans.problems import UNITS_SQL
 from ruamesh.sources.wkt import to_wkt
 from ruamesh.streaming.trajectories import sessions, windowed_usage
 
@@ -372,12 +373,9 @@ def od_by_month(spark: SparkSession, sf: str) -> DataFrame:
     return M.per_period(table(spark, sf, "od_pairs"), "created_at", "month", F.count(F.lit(1)).alias("n"), F.count_distinct("origin_id").alias("origins"))
 
 
-@query(f"WITH {_FULL} SELECT ch.row_id, round(length_mm / 1000 / (try_cast(e.maxspeed AS DOUBLE) / 3.6), 6) AS seconds FROM ch JOIN gdf_edges e USING (row_id) WHERE try_cast(e.maxspeed AS DOUBLE) > 0 AND regexp_full_match(e.maxspeed, '[0-9]+')")
+@query(f"WITH {_FULL}, {UNITS_SQL}, head AS (SELECT row_id, arg_min(si, pos) AS kmh FROM speed WHERE si > 0 GROUP BY row_id) SELECT ch.row_id, round(length_mm / 1000 / (kmh / 3.6), 6) AS seconds FROM ch JOIN head USING (row_id)")
 def travel_times(spark: SparkSession, sf: str) -> DataFrame:
-    """Seconds along each edge at the first of its speeds, taken in km/h from ``edges.speeds``; no row without a positive speed.
-
-    The SQL knows bare numbers taken as km/h only, so it agrees on those rows alone (see the README).
-    """
+    """Seconds along each edge at the first of its speeds, taken in km/h from ``edges.measured``; no row without a positive speed."""
     edges = _edges(spark, sf).select("row_id", "highway", "maxspeed", "note", "source", "loaded_at", "geometry")
     speed = E.speeds(E.measured(edges, table(spark, sf, "fontes")))
     first = speed.filter("si > 0").groupBy("row_id").agg(F.min_by("si", "pos").alias("kmh"))

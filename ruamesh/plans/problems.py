@@ -183,3 +183,54 @@ a AS (SELECT *, sum(n) OVER (PARTITION BY tab, col, mask) / sum(n) OVER (PARTITI
 j AS (SELECT tab, col, load_id, CAST(sum(CASE WHEN q < 0.01 THEN n ELSE 0 END) AS BIGINT) AS rare_n, round(sum(p / 2 * log2(p / ((p + q) / 2)) + q / 2 * log2(q / ((p + q) / 2))) + (1 - sum(q)) / 2, 6) AS js FROM a GROUP BY ALL)
 SELECT b.tab, b.col, CAST(b.load_id AS BIGINT) AS load_id, b.n, b.null_share, b.n_distinct, b.low, b.high, coalesce(j.rare_n, 0) AS rare_n, j.js FROM base b LEFT JOIN j ON j.tab = b.tab AND j.col = b.col AND j.load_id IS NOT DISTINCT FROM b.load_id
 """
+
+# The tables' packed texts split by plain rules, apart from the operator: delimiters outside quotes and parentheses part
+# values, a slash between letters and a comma before a single digit of a speed do not.
+_SPLIT = r"""
+texts AS (SELECT DISTINCT field, text FROM (SELECT 'maxspeed' AS field, maxspeed AS text FROM gdf_edges UNION ALL SELECT 'lanes', lanes FROM gdf_edges UNION ALL SELECT 'highway', highway FROM gdf_edges) WHERE text IS NOT NULL),
+hidden AS (SELECT field, text, regexp_replace(regexp_replace(CASE WHEN field = 'maxspeed' THEN regexp_replace(b, '(\d),(\d)([^\d]|$)', '\1' || chr(2) || '\2\3', 'g') ELSE b END, '([A-Za-z])/([A-Za-z])', '\1' || chr(1) || '\2', 'g'), '\b[sS]/ ', 's' || chr(1) || ' ', 'g') AS t
+  FROM (SELECT field, text, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '^[\[{](.*)[\]}]$', '\1') AS b FROM texts)),
+items AS (SELECT field, text, CASE WHEN len(i) > 1 AND i[-1] = '' AND NOT regexp_matches(t, '[;|\t,/]$') THEN i[:-2] ELSE i END AS items
+  FROM (SELECT field, text, t, regexp_extract_all(t, '((?:"[^"]*"|''[^'']*''|\([^)]*\)|[^;|\t,/("''])*)(?:[;|\t,/]|$)', 1) AS i FROM hidden)),
+vals AS (SELECT field, text, pos, trim(regexp_replace(trim(v), '^(["''])(.*)["'']$', '\2')) AS val
+  FROM (SELECT field, text, unnest(range(1, len(items) + 1)) AS pos, translate(unnest(items), chr(1) || chr(2), '/,') AS v FROM items)),
+good AS (SELECT field, text, CAST(pos AS BIGINT) AS pos, val FROM vals WHERE val <> '')"""
+ORACLES["p3_found"] = f"""WITH {_SPLIT}, many AS (SELECT field, text FROM good GROUP BY ALL HAVING count(*) >= 2),
+e AS (SELECT row_id, 'maxspeed' AS field, maxspeed AS text FROM gdf_edges UNION ALL SELECT row_id, 'lanes', lanes FROM gdf_edges UNION ALL SELECT row_id, 'highway', highway FROM gdf_edges)
+SELECT DISTINCT row_id, field, pos, val FROM e JOIN many USING (field, text) JOIN good USING (field, text)"""
+
+# Units by the words that occur in these tables' values, notes and sources.
+UNITS_SQL = (
+    _SPLIT
+    + r""",
+said AS (SELECT source, CASE WHEN descricao LIKE '%quilômetros até%' THEN 'km' WHEN descricao LIKE '%pés%' THEN 'ft' WHEN descricao LIKE '%yards%' THEN 'yd' WHEN descricao LIKE '%centímetro%' THEN 'cm' ELSE 'm' END AS lu,
+  CASE WHEN descricao LIKE '%metros por segundo%' THEN 'm/s' WHEN descricao LIKE '%miles per hour%' THEN 'mph' ELSE 'km/h' END AS su,
+  coalesce(try_strptime(regexp_extract(descricao, 'quilômetros até (\d{2}/\d{2}/\d{4})', 1), '%d/%m/%Y'), TIMESTAMP '9999-12-31') + INTERVAL 1 DAY AS until FROM fontes),
+edge AS (SELECT e.row_id, e.load_id, e.length, e.maxspeed, e.lanes, CASE WHEN coalesce(e.loaded_at, TIMESTAMP '9999-12-31') < s.until THEN coalesce(s.lu, 'm') ELSE 'm' END AS lu, coalesce(s.su, 'km/h') AS su,
+  CASE WHEN regexp_matches(note, 'comprimento|extens|ext\.|length|medida') THEN CASE WHEN regexp_matches(note, 'cent[ií]metros') THEN 'cm' WHEN regexp_matches(note, 'quil[ôo]metros|km') THEN 'km' WHEN regexp_matches(note, 'p[ée]s|feet') THEN 'ft' WHEN regexp_matches(note, 'jardas|yards') THEN 'yd' END END AS ln,
+  CASE WHEN regexp_matches(note, 'vel|limite') THEN CASE WHEN regexp_matches(note, 'metros por segundo|m/s') THEN 'm/s' WHEN regexp_matches(note, 'mph|milhas por hora') THEN 'mph' END END AS sn
+  FROM gdf_edges e LEFT JOIN said s USING (source)),
+lparts AS (SELECT *, regexp_extract(lower(length), '^\s*([+-]?\d+(?:[.,]\d+)?)\s*([a-zéôó]*)\s*$', ['n', 'u']) AS p FROM edge WHERE length IS NOT NULL),
+lens AS (SELECT row_id, length AS val, try_cast(replace(p.n, ',', '.') AS DOUBLE) AS num, CASE WHEN p.u IN ('km', 'quilômetros') THEN 'km' WHEN p.u IN ('m', 'mts', 'metros') THEN 'm' WHEN p.u = 'cm' THEN 'cm' WHEN p.u IN ('ft', 'pés', 'feet') THEN 'ft' WHEN p.u IN ('yd', 'jardas') THEN 'yd' ELSE coalesce(ln, lu) END AS unit FROM lparts WHERE p.n <> ''),
+sparts AS (SELECT e.*, g.pos, g.val, regexp_extract(regexp_replace(lower(g.val), '\s*(\(.*\)|@.*)\s*$', ''), '^\s*([+-]?\d+(?:[.,]\d+)?)\s*(km/h|kmh|kph|quilômetros por hora|mph|milhas/h|m/s|kn|knots|nós|)\s*$', ['n', 'u']) AS p FROM edge e JOIN good g ON g.field = 'maxspeed' AND g.text = e.maxspeed),
+spds AS (SELECT row_id, load_id, pos, val, try_cast(replace(p.n, ',', '.') AS DOUBLE) AS num, CASE WHEN p.u = '' THEN coalesce(sn, su) WHEN p.u IN ('mph', 'milhas/h') THEN 'mph' WHEN p.u = 'm/s' THEN 'm/s' WHEN p.u IN ('kn', 'knots', 'nós') THEN 'kn' ELSE 'km/h' END AS unit FROM sparts),
+speed AS (SELECT *, num * CASE unit WHEN 'm/s' THEN 3.6 WHEN 'mph' THEN 1.609344 WHEN 'kn' THEN 1.852 ELSE 1.0 END AS si FROM spds)"""
+)
+ORACLES["p2_values"] = f"""WITH {UNITS_SQL}
+SELECT row_id, 'length' AS field, CAST(1 AS BIGINT) AS pos, val, unit, round(num * CASE unit WHEN 'km' THEN 1000 WHEN 'cm' THEN 0.01 WHEN 'ft' THEN 0.3048 WHEN 'yd' THEN 0.9144 ELSE 1.0 END, 4) AS si FROM lens
+UNION ALL SELECT row_id, 'maxspeed', pos, val, unit, round(si, 4) FROM speed WHERE num IS NOT NULL"""
+ORACLES["p2_found"] = f"""WITH {UNITS_SQL}
+SELECT DISTINCT row_id, 'length' AS field FROM lens WHERE unit <> 'm' UNION ALL SELECT DISTINCT row_id, 'maxspeed' FROM speed WHERE num IS NOT NULL AND unit <> 'km/h'"""
+ORACLES["p4_found"] = f"""WITH {UNITS_SQL},
+lane AS (SELECT e.row_id, g.pos, try_cast(replace(nullif(regexp_extract(regexp_replace(g.val, '\\s*(\\(.*\\)|@.*)\\s*$', ''), '^\\s*([+-]?\\d+(?:[.,]\\d+)?)\\s*$', 1), ''), ',', '.') AS DOUBLE) AS num FROM edge e JOIN good g ON g.field = 'lanes' AND g.text = e.lanes),
+value AS (SELECT 'lanes' AS col, row_id, pos, num, num < 1 OR num > 10 OR num <> floor(num) AS off FROM lane UNION ALL SELECT 'maxspeed', row_id, pos, si, si < 5 OR si > 130 FROM speed),
+per AS (SELECT col, row_id, count(num) AS numbers, coalesce(bool_or(off), false) AS off, arg_min(coalesce(num, 'nan'::DOUBLE), pos) AS head FROM value GROUP BY ALL),
+cells AS (SELECT row_id, load_id, 'lanes' AS col, lanes AS text FROM gdf_edges UNION ALL SELECT row_id, load_id, 'maxspeed', maxspeed FROM gdf_edges),
+rows_ AS (SELECT 'gdf_edges' AS tab, c.col, c.load_id, c.row_id, c.text IS NULL AS gone, CASE WHEN c.text IS NOT NULL AND coalesce(p.numbers, 0) = 0 THEN 'pattern' WHEN p.off THEN 'range' END AS finding, CASE WHEN isnan(p.head) THEN NULL ELSE p.head END AS head FROM cells c LEFT JOIN per p USING (col, row_id)
+  UNION ALL SELECT 'grid', 'POP', load_id, fid, POP IS NULL, CASE WHEN POP < 0 OR POP > 5000 THEN 'range' END, CAST(POP AS DOUBLE) FROM grid),
+loads AS (SELECT tab, col, load_id, avg(CASE WHEN gone THEN 1.0 ELSE 0.0 END) AS share, avg(CASE WHEN finding IS NULL AND NOT gone THEN head END) AS mean FROM rows_ GROUP BY ALL),
+med AS (SELECT tab, col, median(share) AS ms, median(mean) AS mm FROM loads GROUP BY ALL)
+SELECT DISTINCT tab, col, CAST(load_id AS BIGINT) AS load_id, CAST(row_id AS BIGINT) AS row_id, finding FROM (
+  SELECT tab, col, load_id, row_id, finding FROM rows_ WHERE finding IS NOT NULL
+  UNION ALL SELECT tab, col, load_id, 0, 'nulls' FROM loads JOIN med USING (tab, col) WHERE share > 2 * ms
+  UNION ALL SELECT tab, col, load_id, 0, 'shift' FROM loads JOIN med USING (tab, col) WHERE abs(mean - mm) > 0.25 * abs(mm))"""

@@ -32,6 +32,7 @@ def test_remarks_speak_only_of_their_field(spark):
 def test_statements_have_dates(spark):
     src = spark.createDataFrame(SOURCES, "source string, descricao string")
     got = {(r["source"], r["unit"]): (r["first"], r["last"]) for r in statements(src, "length").collect()}
+    assert statements(src, "length").count() == 4  # no metre inside of "quilômetros" or "centímetro"
     assert got == {("cad", "km"): (None, dt.date(2023, 6, 30)), ("cad", "m"): (dt.date(2023, 7, 1), None), ("gps", "m"): (None, None), ("imp", "yd"): (None, None)}
     assert {(r["source"], r["unit"]) for r in statements(src, "speed").collect()} == {("cad", "km/h"), ("gps", "m/s"), ("imp", "mph")}
 
