@@ -50,3 +50,12 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_streets": p5_streets, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments}
+ORACLES = {
+    "p8_found": r"""
+WITH both_ AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items),
+plain AS (SELECT DISTINCT kind, id, lower(strip_accents(replace(replace(replace(replace(replace(regexp_replace(text, '</?[A-Za-z][^<>]*>|<\|\w+\|>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '))) AS t FROM both_ WHERE text IS NOT NULL),
+w AS (SELECT kind, id, regexp_extract_all(t, '[\p{L}\p{N}]+') AS w FROM plain),
+g AS (SELECT kind, id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM w WHERE len(w) >= 12)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON i.kind = 'i' AND i.g = d.g WHERE d.kind = 'd'
+"""
+}

@@ -90,3 +90,15 @@ def test_a_shorter_passage_is_a_candidate_but_no_leak(spark):
     items = spark.createDataFrame([(7, " ".join(text))], "item_id bigint, text string")
     assert [(r["doc_id"], r["longest"]) for r in L.leaks(docs, items).collect()] == [(2, 12)]
     assert {(r["doc_id"], r["longest"], r["covered"]) for r in L.leaks(docs, items, least=8).collect()} == {(1, 11, 22), (2, 12, 12)}
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_sql(spark):
+    import duckdb
+
+    from ruamesh.llm.queries import ORACLES, p8_found
+
+    data, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "eval_items"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    assert sorted((r["doc_id"], r["item_id"]) for r in p8_found(spark, data).collect()) == sorted(db.sql(ORACLES["p8_found"]).fetchall())
