@@ -264,23 +264,49 @@ def distinct_components(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "origins").select(F.col("componente").cast("bigint").alias("componente")).distinct()
 
 
+def _arcs_sql(weight: str) -> str:
+    """Oracle: arcs between nodes with their least weight."""
+    return f"""{_FULL}, street AS (SELECT c.u, c.v, {weight} AS w, coalesce(e.oneway, false) AS oneway FROM ch c JOIN gdf_edges e USING (row_id) WHERE c.u <> c.v AND c.length_mm IS NOT NULL),
+arc AS (SELECT u, v, greatest(min(w), 1) AS w FROM (SELECT u, v, w FROM street UNION ALL SELECT v, u, w FROM street WHERE NOT oneway) GROUP BY u, v)"""
+
+
+# Oracle: distances from the nodes of sources, relaxed until none shrinks.
+_DIST = """dist(s, n, d) USING KEY (s, n) AS (
+  SELECT node, node, CAST(0 AS BIGINT) FROM sources
+  UNION
+  SELECT x.s, arc.v, CAST(min(x.d + arc.w) AS BIGINT) FROM dist x JOIN arc ON arc.u = x.n LEFT JOIN recurring.dist o ON o.s = x.s AND o.n = arc.v WHERE o.d IS NULL OR x.d + arc.w < o.d GROUP BY x.s, arc.v)"""
+# Oracle: numbers of shortest paths, hop by hop.
+_SIGMA = f"""sources AS (SELECT u AS node FROM arc UNION SELECT v FROM arc), {_DIST},
+short AS (SELECT a.s, arc.u, arc.v FROM dist a JOIN arc ON arc.u = a.n JOIN dist b ON b.s = a.s AND b.n = arc.v WHERE a.d + arc.w = b.d),
+hop AS (SELECT node AS s, node AS n, CAST(1 AS DOUBLE) AS c FROM sources UNION ALL SELECT hop.s, short.v, sum(hop.c) FROM hop JOIN short ON short.s = hop.s AND short.u = hop.n GROUP BY hop.s, short.v),
+sigma AS (SELECT s, n, d, sum(c) AS c FROM hop JOIN dist USING (s, n) GROUP BY s, n, d),
+size AS (SELECT count(*) AS n FROM places)"""
+_OD = """begin_at AS (SELECT origin_id, max(node) AS source FROM origins WHERE origin_id IS NOT NULL AND node IS NOT NULL GROUP BY origin_id),
+od AS (SELECT DISTINCT pair_id, source, dest_node AS target FROM od_pairs JOIN begin_at USING (origin_id)), sources AS (SELECT DISTINCT source AS node FROM od)"""
+_MM, _BUS_DEAR = "c.length_mm", "CASE WHEN c.modal = 'bus' THEN CAST(floor(c.length_mm * 1.5) AS BIGINT) ELSE c.length_mm END"
+_ROUTES = "SELECT pair_id, source, target, d AS dist FROM od JOIN dist ON s = source AND n = target"
+
+
 def _weighted(spark: SparkSession, sf: str) -> DataFrame:
     """(u, v, w) in millimetres; a street that is not known to be one-way goes both ways."""
     e = N.characterised(_edges(spark, sf).select("u", "v", "highway", "geometry", "oneway"), _nodes(spark, sf)).select("u", "v", F.col("length_mm").alias("w"), "oneway")
     return e.select("u", "v", "w").unionByName(e.filter("NOT coalesce(oneway, false)").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_arcs_sql(_MM)}, {_SIGMA}, part AS (SELECT x.n AS node, sum(x.c * y.c / z.c) AS flow FROM sigma x JOIN sigma y ON y.s = x.n JOIN sigma z ON z.s = x.s AND z.n = y.n WHERE x.d + y.d = z.d AND x.s <> x.n AND y.n <> x.n GROUP BY x.n)
+SELECT p.node, round(coalesce(flow, 0) / greatest(1, (n - 1) * (n - 2)), 12) AS betweenness FROM places p CROSS JOIN size LEFT JOIN part USING (node)""")
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
     return GR.centralities(N.places(_nodes(spark, sf)), _weighted(spark, sf)).select("node", F.round("betweenness", 12).alias("betweenness"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_arcs_sql(_MM)}, sources AS (SELECT u AS node FROM arc UNION SELECT v FROM arc), {_DIST}, t AS (SELECT n AS node, sum(d) AS far, count(*) AS reached FROM dist WHERE s <> n GROUP BY n)
+SELECT p.node, round(coalesce(reached / CAST(far AS DOUBLE) * reached / greatest(1, (SELECT count(*) FROM places) - 1), 0.0), 15) AS closeness FROM places p LEFT JOIN t USING (node)""")
 def closeness(spark: SparkSession, sf: str) -> DataFrame:
     return GR.centralities(N.places(_nodes(spark, sf)), _weighted(spark, sf)).select("node", F.round("closeness", 15).alias("closeness"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_arcs_sql(_MM)}, {_SIGMA}, part AS (SELECT arc.u, arc.v, sum(x.c * y.c / z.c) AS flow FROM sigma x JOIN arc ON arc.u = x.n JOIN sigma y ON y.s = arc.v JOIN sigma z ON z.s = x.s AND z.n = y.n WHERE x.d + arc.w + y.d = z.d GROUP BY arc.u, arc.v)
+SELECT arc.u, arc.v, round(coalesce(flow, 0) / greatest(1, n * (n - 1)), 12) AS betweenness FROM arc CROSS JOIN size LEFT JOIN part USING (u, v)""")
 def edge_betweenness(spark: SparkSession, sf: str) -> DataFrame:
     return GR.edge_betweenness(N.places(_nodes(spark, sf)), _weighted(spark, sf)).select("u", "v", F.round("betweenness", 12).alias("betweenness"))
 
@@ -291,14 +317,14 @@ def _od(spark: SparkSession, sf: str) -> DataFrame:
     return od.join(at, "origin_id").select("pair_id", "source", "target")
 
 
-@query()
+@query(f"WITH RECURSIVE {_arcs_sql(_MM)}, {_OD}, {_DIST} {_ROUTES}")
 def od_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Network distance of every od pair that is connected, in millimetres."""
     od = _od(spark, sf)
     return od.join(GR.shortest_paths(_weighted(spark, sf), od), ["source", "target"]).select("pair_id", "source", "target", "dist")
 
 
-@query()
+@query(f"WITH RECURSIVE {_arcs_sql(_BUS_DEAR)}, {_OD}, {_DIST} {_ROUTES}")
 def od_second_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Distance of every od pair where bus corridors cost half as much again: a second choice of route."""
     e = N.characterised(_edges(spark, sf).select("u", "v", "highway", "geometry", "oneway"), _nodes(spark, sf))
@@ -309,7 +335,8 @@ def od_second_routes(spark: SparkSession, sf: str) -> DataFrame:
     return od.join(GR.shortest_paths(e, od), ["source", "target"]).select("pair_id", "source", "target", "dist")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_arcs_sql(_MM)}, {_OD}, {_DIST}, got AS ({_ROUTES})
+SELECT pair_id, round(dist / 1000 / nullif(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 0), 6) AS detour FROM got JOIN places a ON a.node = source JOIN places b ON b.node = target""")
 def od_detours(spark: SparkSession, sf: str) -> DataFrame:
     """Network distance over the straight line, for connected od pairs."""
     at = N.places(_nodes(spark, sf))
@@ -408,7 +435,7 @@ def ring_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "bairros").select(F.explode("geometry").alias("r")).agg(F.count(F.lit(1)).alias("rings"), F.sum(F.size("r")).alias("points"))
 
 
-@query()
+@query(f"WITH {_FULL} SELECT row_id, 'LINESTRING (' || array_to_string(list_transform(g, lambda p: CAST(p.x AS VARCHAR) || ' ' || CAST(p.y AS VARCHAR)), ', ') || ')' AS wkt FROM filled")
 def edge_wkt(spark: SparkSession, sf: str) -> DataFrame:
     return N.filled_edges(_edges(spark, sf).select("row_id", "u", "v", "geometry"), _nodes(spark, sf)).select("row_id", to_wkt("geometry").alias("wkt"))
 
@@ -419,6 +446,7 @@ def usage_windows(spark: SparkSession, sf: str) -> DataFrame:
     return windowed_usage(table(spark, sf, "events"), "ts", "event_type", "user_id")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS steps FROM s GROUP BY user_id, k""")
 def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return sessions(table(spark, sf, "events"), "ts", "user_id")
