@@ -89,3 +89,8 @@ def modal(highway: Column | str) -> Column:
 def contains(column: str, text: str) -> Column:
     """Whether a text holds another, whatever the case; false for null."""
     return F.coalesce(F.contains(F.lower(F.col(column)), F.lit(text.lower())), F.lit(False))
+
+
+def matches(column: str, pattern: str) -> Column:
+    """Whether a text holds a match of a pattern, whatever the case; false for null."""
+    return F.coalesce(F.col(column).rlike("(?iu)" + pattern), F.lit(False))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_M = 6_371_009.0
 #: GRS80.
@@ -69,6 +70,31 @@ def unproject(x: Column | str, y: Column | str, grid: TransverseMercator = UTM_2
     return grid.lon0 + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.degrees(lat)
 
 
+#: Reference systems by their number; None is longitude and latitude in degrees.
+SYSTEMS: dict[int, TransverseMercator | None] = {31982: UTM_22S, 100_001: TM_POA, 4674: None, 4326: None}
+
+
+def to_crs(df: DataFrame, column: str, source: int, target: int) -> DataFrame:
+    """The frame with a geometry column (a point, an array of points or of arrays of points) in another system.
+
+    A noted system of the column must be ``source``; the new one is noted.
+    """
+    noted = df.schema[column].metadata.get("srid", source)
+    if noted != source:
+        raise ValueError(f"reference systems differ: {noted} and {source}")
+    a, b = SYSTEMS[source], SYSTEMS[target]
+
+    def point(p: Column) -> Column:
+        lon, lat = unproject(p["x"], p["y"], a) if a else (p["x"], p["y"])
+        x, y = project(lon, lat, b) if b else (lon, lat)
+        return F.when(p.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+    def moved(c: Column, kind: T.DataType) -> Column:
+        return F.transform(c, lambda x: moved(x, kind.elementType)) if isinstance(kind, T.ArrayType) else point(c)
+
+    return df if a == b else with_srid(df.withColumn(column, moved(F.col(column), df.schema[column].dataType)), column, target)
+
+
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Great-circle metres between two points in degrees."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruamesh.common import cut
 from ruamesh.functions import classify as C
 from ruamesh.functions import geo as G
+from ruamesh.operators.graph import components
 
 
 def places(nodes: DataFrame) -> DataFrame:
@@ -56,3 +58,22 @@ def contracted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a <> b").distinct()
     near = both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return near.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("neighbours"), F.min("b").alias("low"), F.max("b").alias("high")).filter("neighbours = 2")
+
+
+def chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(chain, end_a, end_b, edges, length_mm): streets through nodes of degree 2, contracted to one street each.
+
+    ``edges``: (u, v, length_mm). Both directions are one street, of the least length. chain is the least node inside;
+    the ends are the nodes beyond, or null for a ring; a chain that comes back to its beginning has equal ends.
+    """
+    e = edges.filter("u <> v").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min("length_mm").alias("w"))
+    e = cut(e)
+    inner = contracted(edges, nodes).select("node")
+    ends = e.select("w", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s"), "a", "b").select("w", "a", "b", "s.*")
+    inner = cut(inner)
+    inside = e.join(inner.toDF("a"), "a", "left_semi").join(inner.toDF("b"), "b", "left_semi")
+    labels = cut(components(inner, inside.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    touching = ends.join(labels, "node").join(inner.select(F.col("node").alias("other"), F.lit(True).alias("within")), "other", "left")
+    per = touching.groupBy("label", "a", "b").agg(F.first("w").alias("w"), F.max(F.when(F.col("within").isNull(), F.col("other"))).alias("out"))
+    got = per.groupBy("label").agg(F.min("out").alias("end_a"), F.max("out").alias("end_b"), F.count(F.lit(1)).alias("edges"), F.sum("w").alias("length_mm"))
+    return got.withColumnRenamed("label", "chain")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruamesh.common import cut
+from ruamesh.functions.geo import same_srid
 
 MAX_PIVOTS = 1 << 18
 #: As many pivots are taken exactly in hash order; more by a threshold of the hash, so their number varies a little.
@@ -197,8 +198,10 @@ def near_pairs(points: DataFrame, radius: float, metric: str = "plane") -> DataF
 def near_between(points: DataFrame, targets: DataFrame, radius: float, metric: str = "plane") -> DataFrame:
     """(id, target, dist): targets at most ``radius`` from a point. ``points``: (id, x, y); ``targets``: (target, x, y).
 
-    Points stay in their home cells and targets are replicated, so a point's rows arise in one cell.
+    Points stay in their home cells and targets are replicated, so a point's rows arise in one cell. Both must name
+    the same reference system, if any, in the metadata of x (in all joins of two sides).
     """
+    same_srid(points, "x", targets, "x")
     ids = cut(_located(points, F.col("id").cast("bigint").alias("id")))
     places = cut(ids.select("x", "y").distinct())
     goals = _located(targets, F.col("target").cast("bigint").alias("target")).filter("target IS NOT NULL").withColumn("r", F.lit(float(radius)))
@@ -252,6 +255,7 @@ def regions_of(points: DataFrame, regions: DataFrame) -> DataFrame:
     ``points``: (id, x, y); ``regions``: (region, rings). The even-odd rule is that of the coordinates' plane, metres
     or degrees, so cells and replication are the plane's too; holes are rings too.
     """
+    same_srid(points, "x", regions, "rings")
     ids = cut(_located(points, F.col("id").cast("bigint").alias("id")))
     places = cut(ids.select("x", "y").distinct())
     pivots = pick_pivots(places)
@@ -286,6 +290,7 @@ def regions_of(points: DataFrame, regions: DataFrame) -> DataFrame:
 
 def nearest(points: DataFrame, targets: DataFrame, metric: str = "plane") -> DataFrame:
     """(id, target, dist): the nearest target of each point. ``points``: (id, x, y); ``targets``: (target, x, y)."""
+    same_srid(points, "x", targets, "x")
     ids = cut(_located(points, F.col("id").cast("bigint").alias("id")))
     goals = cut(_located(targets, F.col("target").cast("bigint").alias("target")).filter("target IS NOT NULL").groupBy("x", "y").agg(F.min("target").alias("target")))
     pivots = pick_pivots(goals)

@@ -144,11 +144,22 @@ def network_totals(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.join(edges).select("nodes", "edges", "km")  # one row each
 
 
-@query(f"WITH {_FULL}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) AS n FROM places) SELECT round(n / ((x1 - x0) * (y1 - y0) / 1e6), 6) AS nodes_km2, round((SELECT sum(length_mm) FROM ch) / 1e6 / ((x1 - x0) * (y1 - y0) / 1e6), 6) AS km_km2 FROM b")
+_RINGS = """s AS (SELECT CODIGO, ring, k, unnest(range(1, len(ring))) AS i FROM (SELECT CODIGO, unnest(geometry) AS ring, unnest(range(len(geometry))) AS k FROM bairros)),
+e AS (SELECT CODIGO, k, ring[i].x AS x1, ring[i].y AS y1, ring[i + 1].x AS x2, ring[i + 1].y AS y2, ring[1].x AS x0, ring[1].y AS y0 FROM s),
+area AS (SELECT CODIGO, sum(CASE WHEN k = 0 THEN a ELSE -a END) AS m2 FROM (SELECT CODIGO, k, abs(sum((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0))) / 2 AS a FROM e GROUP BY CODIGO, k) GROUP BY CODIGO)"""
+
+
+@query(f"""WITH {_PLACES}, {_RINGS}, box AS (SELECT CODIGO, min(least(x1, x2)) AS xa, max(greatest(x1, x2)) AS xb, min(least(y1, y2)) AS ya, max(greatest(y1, y2)) AS yb FROM e GROUP BY CODIGO),
+c AS (SELECT p.*, CODIGO FROM places p JOIN box ON p.x BETWEEN xa AND xb AND p.y BETWEEN ya AND yb),
+hit AS (SELECT c.node, c.CODIGO FROM c JOIN e USING (CODIGO) GROUP BY c.node, c.CODIGO HAVING sum(CASE WHEN (y1 > c.y) <> (y2 > c.y) AND c.x < (x2 - x1) * (c.y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1),
+n AS (SELECT CODIGO, count(*) AS n FROM hit GROUP BY CODIGO)
+SELECT CAST(CODIGO AS BIGINT) AS codigo, coalesce(n, 0) AS nodes, round(coalesce(n, 0) / (m2 / 1e6), 6) AS nodes_km2 FROM area LEFT JOIN n USING (CODIGO) WHERE m2 > 0""")
 def node_density(spark: SparkSession, sf: str) -> DataFrame:
-    b = N.places(_nodes(spark, sf)).agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) / 1e6).alias("area"), F.count(F.lit(1)).alias("n"))
-    e = _characterised(spark, sf).agg((F.sum("length_mm").cast("double") / 1e6).alias("km"))
-    return b.join(e).select(F.round(F.col("n") / F.col("area"), 6).alias("nodes_km2"), F.round(F.col("km") / F.col("area"), 6).alias("km_km2"))
+    """Nodes of each district over the district's own area."""
+    b = table(spark, sf, "bairros").select(F.col("CODIGO").cast("bigint").alias("region"), F.col("geometry").alias("rings"))
+    inside = regions_of(N.places(_nodes(spark, sf)).withColumnRenamed("node", "id"), b).groupBy("region").agg(F.count(F.lit(1)).alias("nodes"))
+    d = b.select("region", (G.polygon_area("rings") / 1e6).alias("km2")).join(inside, "region", "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
+    return d.filter("km2 > 0").select(F.col("region").alias("codigo"), "nodes", F.round(F.col("nodes") / F.col("km2"), 6).alias("nodes_km2"))
 
 
 @query("SELECT fid, load_id, POP FROM grid WHERE POP > 0")
@@ -420,7 +431,17 @@ def pass_through_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return N.contracted(_edges(spark, sf), _nodes(spark, sf))
 
 
-@query()
+def _lonlat_sql(x: str, y: str, of: str, keep: str, g: G.TransverseMercator = G.UTM_22S) -> str:
+    """Oracle: degrees of grid metres by the inverse series, step by step."""
+    r = g.k0 * G._RECT
+    a = " ".join(f"- {b!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(G._BETA, 1))
+    b_ = " ".join(f"- {b!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(G._BETA, 1))
+    lat = " ".join(f"+ {d!r} * sin({2 * j} * chi)" for j, d in enumerate(G._DELTA, 1))
+    return f"""(SELECT {keep}, {g.lon0!r} + degrees(atan2(sinh(b), cos(a))) AS lon, degrees(chi {lat}) AS lat FROM (SELECT *, asin(sin(a) / cosh(b)) AS chi FROM (SELECT *, xi {a} AS a, eta {b_} AS b
+  FROM (SELECT *, ({y} - {g.northing!r}) / {r!r} AS xi, ({x} - {g.easting!r}) / {r!r} AS eta FROM {of}))))"""
+
+
+@query(f"WITH {_PLACES} SELECT node, round(lon, 9) AS lon, round(lat, 9) AS lat, round(x, 3) AS x, round(y, 3) AS y FROM {_lonlat_sql('x', 'y', 'places', 'node, x, y')}")
 def node_lonlat(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes in degrees and projected back."""
     at = N.places(_nodes(spark, sf))
@@ -430,6 +451,15 @@ def node_lonlat(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("node", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+@query(f"""WITH {_FULL}, p AS (SELECT row_id, unnest(range(1, len(g) + 1)) AS pos, unnest(g) AS p FROM filled)
+SELECT row_id, CAST(pos AS BIGINT) AS pos, round(lon, 8) AS lon, round(lat, 8) AS lat FROM {_lonlat_sql("p.x", "p.y", "p", "row_id, pos")}""")
+def edge_lonlat(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of every edge's geometry in degrees: the whole table reprojected."""
+    e = N.filled_edges(_edges(spark, sf).select("row_id", "u", "v", "geometry"), _nodes(spark, sf))
+    points = G.to_crs(e, "geometry", 31982, 4674).select("row_id", F.posexplode("geometry").alias("pos", "p"))
+    return points.select("row_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.round("p.x", 8).alias("lon"), F.round("p.y", 8).alias("lat"))
+
+
 @query(f"WITH {_PLACES}, b AS (SELECT unnest(geometry) AS r FROM bairros) SELECT count(*) AS rings, CAST(sum(len(r)) AS BIGINT) AS points FROM b")
 def ring_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "bairros").select(F.explode("geometry").alias("r")).agg(F.count(F.lit(1)).alias("rings"), F.sum(F.size("r")).alias("points"))
@@ -450,3 +480,32 @@ def usage_windows(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS steps FROM s GROUP BY user_id, k""")
 def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return sessions(table(spark, sf, "events"), "ts", "user_id")
+
+
+@query(ORACLES["betweenness"].replace("SELECT p.node, round(", "SELECT p.node, p.x, p.y, round("))
+def nodes_betweenness(spark: SparkSession, sf: str) -> DataFrame:
+    """The node layer with its betweenness, ready to be written."""
+    return N.places(_nodes(spark, sf)).join(betweenness(spark, sf), "node")
+
+
+@query(f"WITH RECURSIVE {_arcs_sql(_MM)}, {_OD}, {_DIST} SELECT source, count(DISTINCT target) AS reached FROM od JOIN dist ON s = source AND n = target WHERE d <= 5000000 GROUP BY source")
+def cumulative_access(spark: SparkSession, sf: str) -> DataFrame:
+    """Different destinations of each origin's node within 5 km of network."""
+    return M.cumulative(od_routes(spark, sf), "source", "target", F.col("dist") <= 5_000_000)
+
+
+@query("SELECT DISTINCT name FROM gdf_edges WHERE regexp_matches(name, '(?i)^(av|avenida)[. ].*[aeo]ra$')")
+def names_matching(spark: SparkSession, sf: str) -> DataFrame:
+    """Street names that match a pattern."""
+    return _edges(spark, sf).filter(C.matches("name", r"^(av|avenida)[. ].*[aeo]ra$")).select("name").distinct()
+
+
+@query(f"""WITH RECURSIVE {_FULL}, street AS (SELECT least(u, v) AS a, greatest(u, v) AS b, min(length_mm) AS w FROM ch WHERE u <> v GROUP BY ALL),
+ends AS (SELECT a AS node, b AS other, a, b, w FROM street UNION ALL SELECT b, a, a, b, w FROM street), inner_ AS (SELECT node FROM ends GROUP BY node HAVING count(*) = 2),
+label(node, l) USING KEY (node) AS (SELECT node, node FROM inner_ UNION
+  SELECT e.other, min(x.l) FROM label x JOIN ends e ON e.node = x.node JOIN recurring.label o ON o.node = e.other WHERE x.l < o.l GROUP BY e.other),
+per AS (SELECT l.l, e.a, e.b, any_value(e.w) AS w, max(CASE WHEN e.other NOT IN (SELECT node FROM inner_) THEN e.other END) AS out FROM label l JOIN ends e USING (node) GROUP BY l.l, e.a, e.b)
+SELECT l AS chain, min(out) AS end_a, max(out) AS end_b, count(*) AS edges, CAST(sum(w) AS BIGINT) AS length_mm FROM per GROUP BY l""")
+def street_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Streets through nodes of degree 2, each contracted to one with the sum of its lengths."""
+    return N.chains(_characterised(spark, sf).select("u", "v", "length_mm"), _nodes(spark, sf))

@@ -1,5 +1,7 @@
 import math
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ruamesh.functions import classify as C
@@ -73,3 +75,27 @@ def test_classification(spark):
     ]
     named = spark.createDataFrame([("Avenida OSVALDO x",), (None,)], "name string")
     assert [r[0] for r in named.select(C.contains("name", "osvaldo")).collect()] == [True, False]
+
+
+def test_tables_are_reprojected_and_back(spark):
+    p, line = "struct<x: double, y: double>", [(478724.04, 6677099.57), (479920.73, 6677846.19)]
+    df = spark.createDataFrame([(1, line[0], line, [line, line[::-1]]), (2, None, None, None)], f"id int, p {p}, l array<{p}>, g array<array<{p}>>")
+    for column in ("p", "l", "g"):
+        degrees = G.to_crs(df, column, 31982, 4674)
+        back = G.to_crs(G.to_crs(degrees, column, 4674, 100_001), column, 100_001, 31982)
+        assert degrees.schema[column].metadata["srid"] == 4674 and back.schema[column].metadata["srid"] == 31982
+        flat = lambda v: [float(x) for x in re.findall(r"-?\d+\.\d+", str(v))]
+        a, b = df.orderBy("id").collect(), back.orderBy("id").collect()
+        assert flat(a[0][column]) == pytest.approx(flat(b[0][column]), abs=2e-3) and b[1][column] is None
+        assert flat(degrees.orderBy("id").collect()[0][column])[:2] == pytest.approx([-51.2218, -30.0388], abs=2e-3)
+        with pytest.raises(ValueError):
+            G.to_crs(degrees, column, 31982, 4674)
+
+
+def test_spatial_joins_want_one_system(spark):
+    from ruamesh.operators.spatial import nearest
+
+    a, b = spark.createDataFrame([(1, 0.0, 0.0)], "id bigint, x double, y double"), spark.createDataFrame([(2, 0.0, 1.0)], "target bigint, x double, y double")
+    assert nearest(G.with_srid(a, "x", 31982), G.with_srid(b, "x", 31982)).count() == 1
+    with pytest.raises(ValueError):
+        nearest(G.with_srid(a, "x", 31982), G.with_srid(b, "x", 4674))

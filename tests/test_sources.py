@@ -1,7 +1,9 @@
 import json
 
+from pyspark.sql import functions as F
+
 from ruamesh.sources.config import raster_cells, read_config, read_geocoder, read_labels
-from ruamesh.sources.graphml import read_graphml, to_graphml_lines
+from ruamesh.sources.graphml import as_list, read_graphml, to_graphml_lines, write_graphml
 from ruamesh.sources.layers import convert, read_layer, write_layer
 from ruamesh.sources.wkt import polygon_to_wkt
 
@@ -34,7 +36,22 @@ def test_graphml(spark, tmp_path):
     assert got[11]["highway"] == ["primary"] and got[11]["oneway"] is False and got[11]["geometry"] is None
     assert edges.schema["geometry"].metadata["srid"] == 31982
     lines = [r["line"] for r in to_graphml_lines(nodes, edges).orderBy("part", "line").collect()]
-    assert len(lines) == 4 and lines[0].startswith('<node id="10">') and "LINESTRING (1.5 2.5, 4.5 6.5)" in lines[2]
+    assert len(lines) == 6 and lines[1].startswith('<node id="10">') and "LINESTRING (1.5 2.5, 4.5 6.5)" in lines[3]
+
+
+def test_graphml_round_trip(spark, tmp_path):
+    (tmp_path / "g.graphml").write_text(GRAPHML)
+    nodes, edges = read_graphml(spark, str(tmp_path / "g.graphml"))
+    edges = edges.withColumn("name", F.when(F.col("u") == 10, F.lit('Rua "A" & <B>'))).withColumn("lanes", F.array(F.lit("2, fundos"), F.lit("d'água")))
+    write_graphml(nodes, edges, str(tmp_path / "out"))
+    again_nodes, again = read_graphml(spark, str(tmp_path / "out"))
+    assert sorted(map(str, again_nodes.collect())) == sorted(map(str, nodes.collect()))
+    assert sorted(map(str, again.collect())) == sorted(map(str, edges.collect()))
+
+
+def test_lists_keep_commas_inside_quotes(spark):
+    df = spark.createDataFrame([("['Rua A, fundos', 'B']",), ("[1, 2]",), ("solo",), (None,), ("[]",)], "t string")
+    assert [r[0] for r in df.select(as_list(F.col("t"))).collect()] == [["Rua A, fundos", "B"], ["1", "2"], ["solo"], None, []]
 
 
 def test_layers_and_conversion(spark, tmp_path):
