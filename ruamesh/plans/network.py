@@ -46,17 +46,19 @@ def _characterised(spark: SparkSession, sf: str, language: str = "en") -> DataFr
     return N.characterised(_edges(spark, sf).select("row_id", "u", "v", "highway", "name", "geometry"), _nodes(spark, sf), language)
 
 
-def _case(key: str, labels: dict[str, str], default: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE '{default}' END"
-
-
-_FIRST = "nullif(regexp_extract(highway, '([a-z_]+)', 1), '')"
+# Oracle: the labels written down apart from the operators, and the first class of a list by plain text functions.
+_FIRST = """nullif(trim(regexp_extract(translate(highway, '[]{}''"', ''), '^\\s*([^;|,/\t(:]*)', 1)), '')"""
+_EN = f"CASE WHEN {_FIRST} = 'motorway' THEN 'Motorway' WHEN {_FIRST} = 'trunk' THEN 'Trunk Road' WHEN {_FIRST} = 'primary' THEN 'Arterial Road' WHEN {_FIRST} = 'secondary' THEN 'Collector Road' WHEN {_FIRST} = 'tertiary' THEN 'Local Collector' WHEN {_FIRST} = 'residential' THEN 'Residential Street' WHEN {_FIRST} = 'living_street' THEN 'Living Street' WHEN {_FIRST} = 'busway' THEN 'Bus Corridor' WHEN {_FIRST} = 'service' THEN 'Service Road' ELSE 'Other' END"
+_PT = f"CASE WHEN {_FIRST} IN ('motorway', 'trunk') THEN 'Via Expressa' WHEN {_FIRST} = 'primary' THEN 'Via Arterial' WHEN {_FIRST} = 'secondary' THEN 'Via Coletora' WHEN {_FIRST} IN ('tertiary', 'residential', 'living_street') THEN 'Via Local' WHEN {_FIRST} = 'busway' THEN 'Corredor de Ônibus' WHEN {_FIRST} = 'service' THEN 'Via de Serviço' ELSE 'Other' END"
+_INLINE = f"CASE WHEN {_FIRST} = 'busway' THEN 'Bus Corridor' WHEN {_FIRST} = 'motorway' THEN 'Motorway' WHEN {_FIRST} = 'trunk' THEN 'Trunk Road' WHEN {_FIRST} = 'primary' THEN 'Arterial Road' WHEN {_FIRST} = 'secondary' THEN 'Collector Road' WHEN {_FIRST} = 'secondary_link' THEN 'Collector Link' WHEN {_FIRST} = 'tertiary' THEN 'Local Collector' WHEN {_FIRST} = 'residential' THEN 'Residential Street' ELSE 'Other' END"
+_LADDER = "CASE WHEN highway = 'busway' THEN 'Corredor de onibus' WHEN highway = 'primary' THEN 'Via Arterial' WHEN highway = 'secondary' THEN 'Via Coletora' WHEN highway = 'secondary_link' THEN 'Link Coletor' WHEN highway = 'tertiary' THEN 'Via Coletora Local' WHEN highway = 'residential' THEN 'Rua Residencial' ELSE 'Outro' END"
+_MODE = "CASE WHEN highway = 'busway' THEN 'bus' WHEN highway IN ('primary', 'secondary', 'tertiary', 'residential') THEN 'car' WHEN highway = 'cycleway' THEN 'bike' WHEN highway = 'footway' THEN 'pedestrian' ELSE 'other' END"
 _PLACES = "places AS (SELECT osmid AS node, min(x) AS x, min(y) AS y FROM gdf_nodes WHERE osmid IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY osmid)"
 _LINE = "list_sum(list_transform(range(2, len(g) + 1), lambda i: sqrt((g[i].x - g[i - 1].x) * (g[i].x - g[i - 1].x) + (g[i].y - g[i - 1].y) * (g[i].y - g[i - 1].y))))"
 _FULL = f"""{_PLACES},
 filled AS (SELECT e.* EXCLUDE (geometry), coalesce(e.geometry, CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN [{{'x': a.x, 'y': a.y}}, {{'x': b.x, 'y': b.y}}] END) AS g
   FROM gdf_edges e LEFT JOIN places a ON a.node = e.u LEFT JOIN places b ON b.node = e.v),
-ch AS (SELECT row_id, u, v, highway, name, g, {_case(_FIRST, C.ROAD_TYPES["en"], "Other")} AS road_type, {_case("highway", C.MODES, "other")} AS modal,
+ch AS (SELECT row_id, u, v, highway, name, g, {_EN} AS road_type, {_MODE} AS modal,
   CAST(floor({_LINE} * 1000 + 0.5) AS BIGINT) AS length_mm FROM filled)"""
 
 
@@ -66,22 +68,22 @@ def km_by_road_type(spark: SparkSession, sf: str) -> DataFrame:
     return ch.groupBy("road_type").agg(F.count(F.lit(1)).alias("n"), (F.sum("length_mm").cast("double") / 1e6).alias("km"))
 
 
-@query(f"WITH {_FULL} SELECT {_case(_FIRST, C.ROAD_TYPES['pt'], 'Other')} AS road_type, CAST(sum(length_mm) AS DOUBLE) / 1e6 AS km FROM ch GROUP BY 1")
+@query(f"WITH {_FULL} SELECT {_PT} AS road_type, CAST(sum(length_mm) AS DOUBLE) / 1e6 AS km FROM ch GROUP BY 1")
 def km_by_road_type_pt(spark: SparkSession, sf: str) -> DataFrame:
     return _characterised(spark, sf, "pt").groupBy("road_type").agg((F.sum("length_mm").cast("double") / 1e6).alias("km"))
 
 
-@query(f"SELECT row_id, {_case(_FIRST, C.ROAD_TYPES['en'], 'Other')} AS en, {_case(_FIRST, C.ROAD_TYPES['pt'], 'Other')} AS pt FROM gdf_edges")
+@query(f"SELECT row_id, {_EN} AS en, {_PT} AS pt FROM gdf_edges")
 def road_type_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).select("row_id", C.road_type("highway").alias("en"), C.road_type("highway", "pt").alias("pt"))
 
 
-@query(f"SELECT row_id, {_case('highway', C.LADDER_PT, 'Outro')} AS road_type FROM gdf_edges")
+@query(f"SELECT row_id, {_LADDER} AS road_type FROM gdf_edges")
 def road_type_ladder(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).select("row_id", C.road_type_ladder("highway").alias("road_type"))
 
 
-@query(f"SELECT row_id, {_case(_FIRST, C.INLINE_EN, 'Other')} AS road_type FROM gdf_edges")
+@query(f"SELECT row_id, {_INLINE} AS road_type FROM gdf_edges")
 def road_type_inline(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).select("row_id", C.road_type_inline("highway").alias("road_type"))
 
@@ -91,17 +93,17 @@ def first_class(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).select("row_id", F.nullif(C.first_class("highway"), F.lit("")).alias("first_class"))
 
 
-@query(f"SELECT row_id, {_case('highway', C.MODES, 'other')} AS modal FROM gdf_edges")
+@query(f"SELECT row_id, {_MODE} AS modal FROM gdf_edges")
 def modal_classify(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).select("row_id", C.modal("highway").alias("modal"))
 
 
-@query(f"SELECT {_case(_FIRST, C.ROAD_TYPES['en'], 'Other')} AS road_type, count(*) AS n FROM gdf_edges GROUP BY 1")
+@query(f"SELECT {_EN} AS road_type, count(*) AS n FROM gdf_edges GROUP BY 1")
 def road_type_counts(spark: SparkSession, sf: str) -> DataFrame:
     return N.counts(_edges(spark, sf).select(C.road_type("highway").alias("road_type")), "road_type")
 
 
-@query(f"SELECT {_case('highway', C.MODES, 'other')} AS modal, count(*) AS n FROM gdf_edges GROUP BY 1")
+@query(f"SELECT {_MODE} AS modal, count(*) AS n FROM gdf_edges GROUP BY 1")
 def modal_counts(spark: SparkSession, sf: str) -> DataFrame:
     return N.counts(_edges(spark, sf).select(C.modal("highway").alias("modal")), "modal")
 
@@ -111,12 +113,12 @@ def highway_counts(spark: SparkSession, sf: str) -> DataFrame:
     return N.counts(_edges(spark, sf), "highway")
 
 
-@query(f"SELECT name, string_agg(DISTINCT m, ';' ORDER BY m) AS items FROM (SELECT name, {_case('highway', C.MODES, 'other')} AS m FROM gdf_edges) WHERE name IS NOT NULL GROUP BY name")
+@query(f"SELECT name, string_agg(DISTINCT m, ';' ORDER BY m) AS items FROM (SELECT name, {_MODE} AS m FROM gdf_edges) WHERE name IS NOT NULL GROUP BY name")
 def modes_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return N.distinct_lists(_edges(spark, sf).select("name", C.modal("highway").alias("m")), "name", "m")
 
 
-@query(f"SELECT name, string_agg(DISTINCT m, ';' ORDER BY m) AS items FROM (SELECT name, {_case(_FIRST, C.ROAD_TYPES['en'], 'Other')} AS m FROM gdf_edges) WHERE name IS NOT NULL GROUP BY name")
+@query(f"SELECT name, string_agg(DISTINCT m, ';' ORDER BY m) AS items FROM (SELECT name, {_EN} AS m FROM gdf_edges) WHERE name IS NOT NULL GROUP BY name")
 def types_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return N.distinct_lists(_edges(spark, sf).select("name", C.road_type("highway").alias("m")), "name", "m")
 
@@ -386,7 +388,7 @@ def destination_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return M.entropy(table(spark, sf, "od_pairs").distinct(), "origin_id", "dest_node").withColumn("entropy", F.round("entropy", 6))
 
 
-@query(_entropy_sql("name", "modal", f"(SELECT name, {_case('highway', C.MODES, 'other')} AS modal FROM gdf_edges)"))
+@query(_entropy_sql("name", "modal", f"(SELECT name, {_MODE} AS modal FROM gdf_edges)"))
 def modal_diversity(spark: SparkSession, sf: str) -> DataFrame:
     return M.entropy(_edges(spark, sf).select("name", C.modal("highway").alias("modal")), "name", "modal").withColumn("entropy", F.round("entropy", 6))
 
