@@ -1,7 +1,7 @@
 """Readers of Shapefiles and GeoPackages without a geometry library: (file, layer, srid, geometry, attrs).
 
-Files are read by Spark as bytes and parsed in the tasks, so that a folder of many files spreads over the cluster; one
-file, at most 2 GB by its format, is the unit of work. Geometry is array<array<struct<x, y>>>: the parts of a line,
+Files are parsed in the tasks, so that a folder of many files spreads over the cluster. A Shapefile, at most 2 GB by its
+format, comes as bytes and is one unit of work; a GeoPackage is read in ranges of rows. Geometry is array<array<struct<x, y>>>: the parts of a line,
 the rings of all polygons, or the single points. Attributes are texts by name; the caller casts them.
 """
 
@@ -11,6 +11,7 @@ import os
 import sqlite3
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -113,23 +114,57 @@ def read_shapefile(spark: SparkSession, path: str, srid: int = 0, encoding: str
     return shp.join(dbf, "stem").mapInPandas(parse, _ROWS)
 
 
+#: Rows of a GeoPackage layer that are read as one piece of work.
+GPKG_ROWS = 100_000
+_RANGES = "path string, layer string, geom string, srid int, lo bigint, hi bigint"
+
+
+def _open(path: str, content: bytes | None) -> sqlite3.Connection:
+    if content is None:
+        return sqlite3.connect(f"file:{quote(unquote(urlparse(path).path))}?mode=ro", uri=True)
+    db = sqlite3.connect(":memory:")
+    db.deserialize(content)
+    return db
+
+
 def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """Layers of the GeoPackages at a path or glob, all or the one named."""
+    """Layers of the GeoPackages at a path or glob, all or the one named.
+
+    Files of a mounted file system are opened in place, whatever their size, and read in ranges of ``GPKG_ROWS`` row
+    ids by many tasks. Files of an object store come as bytes, and Spark takes at most 2 GB of them in one value.
+    """
     ship(spark)
+    files = spark.read.format("binaryFile").load(path)
+    mounted = files.select("path").filter("path NOT LIKE 'file:%'").isEmpty()
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                db = sqlite3.connect(":memory:")
-                db.deserialize(content)
+            out = []
+            for name, content in zip(pdf["path"], pdf["content"] if "content" in pdf else [None] * len(pdf)):
+                db = _open(name, content)
                 for table, column, srid in db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns").fetchall():
                     if layer is None or table == layer:
-                        got = db.execute('SELECT * FROM "' + table.replace('"', '""') + '"')
-                        names = [d[0] for d in got.description]
-                        rows = []
-                        for r in got:
-                            attrs = {k: None if v is None else str(v) for k, v in zip(names, r) if k != column}
-                            rows.append((name, table, srid, gpkg_geometry(r[names.index(column)]), attrs))
-                        yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, _ROWS)
+                        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(table)}").fetchone()
+                        out += [(name, table, column, srid, k, k + GPKG_ROWS) for k in range(low, high + 1, GPKG_ROWS)] if low is not None else []
+                db.close()
+            yield pd.DataFrame(out, columns=["path", "layer", "geom", "srid", "lo", "hi"])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, table, column, srid, lo, hi, content in zip(*(pdf[c] for c in ("path", "layer", "geom", "srid", "lo", "hi")), pdf["content"] if "content" in pdf else [None] * len(pdf)):
+                db = _open(name, content)
+                got = db.execute(f"SELECT * FROM {_quoted(table)} WHERE rowid >= ? AND rowid < ?", (int(lo), int(hi)))
+                names = [d[0] for d in got.description]
+                while some := got.fetchmany(10_000):
+                    rows = [(name, table, srid, gpkg_geometry(r[names.index(column)]), {k: None if v is None else str(v) for k, v in zip(names, r) if k != column}) for r in some]
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                db.close()
+
+    work = files.select("path") if mounted else files.select("path", "content")
+    pieces = work.mapInPandas(ranges, _RANGES)
+    pieces = pieces.repartition(spark.sparkContext.defaultParallelism, "path", "layer", "lo") if mounted else pieces.join(files.select("path", "content"), "path")
+    return pieces.mapInPandas(parse, _ROWS)
+
+
+def _quoted(table: str) -> str:
+    return '"' + table.replace('"', '""') + '"'

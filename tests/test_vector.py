@@ -60,3 +60,19 @@ def test_geopackage(spark, tmp_path):
 
 def test_binary_with_height():
     assert wkb(struct.pack("<BI3d", 1, 1001, 1.0, 2.0, 3.0))[0] == [[{"x": 1.0, "y": 2.0}]]
+
+
+def test_geopackage_in_ranges_of_rows(spark, tmp_path, monkeypatch):
+    from ruamesh.sources import vector
+
+    monkeypatch.setattr(vector, "GPKG_ROWS", 7)
+    db = sqlite3.connect(tmp_path / "a b.gpkg")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name, column_name, srs_id)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('rows', 'geom', 31982), ('none', 'geom', 31982)")
+    db.execute("CREATE TABLE rows (fid INTEGER PRIMARY KEY, geom BLOB, name TEXT)")
+    db.execute("CREATE TABLE none (fid INTEGER PRIMARY KEY, geom BLOB)")
+    db.executemany("INSERT INTO rows VALUES (?, NULL, ?)", [(k * 3 - 20, f"n{k}") for k in range(50)])
+    db.commit()
+    db.close()
+    got = read_geopackage(spark, str(tmp_path / "a b.gpkg")).collect()
+    assert sorted(r["attrs"]["name"] for r in got) == sorted(f"n{k}" for k in range(50))
