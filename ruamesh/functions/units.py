@@ -46,7 +46,7 @@ def own_unit(value: Column | str, kind: str) -> Column:
     out = F.lit(None).cast("string")
     for unit, words in reversed(WORDS[kind].items()):
         out = F.when(v.rlike(rf"(?s)^\s*{NUMBER}\s*(?:{words}){_REMARK}$"), F.lit(unit)).otherwise(out)
-    return out
+    return F.when(~v.rlike(rf"^{NUMBER}$"), out)  # most values are a number alone and need no more
 
 
 def stated_unit(text: Column | str, kind: str) -> Column:
